@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.base import as_col, find_all, has, let, strip
+from pagewright.functions.base import as_col, find_all, has, has_any, let, strip
 from pagewright.functions.urls import base_of, resolve_against, resolve_url, url_parts
 
 COMMENT = r"<!--.*?-->"
@@ -135,8 +135,12 @@ def script_srcs(html: Column | str) -> Column:
     return attr_values(markup(html), "script", "src")
 
 
+def img_srcs_in(clean_markup: Column) -> Column:
+    return F.filter(attr_values(clean_markup, "img", "src"), lambda x: x != "")
+
+
 def img_srcs(html: Column | str) -> Column:
-    return F.filter(attr_values(markup(html), "img", "src"), lambda x: x != "")
+    return img_srcs_in(markup(html))
 
 
 def _srcset_items(values: Column) -> Column:
@@ -145,31 +149,46 @@ def _srcset_items(values: Column) -> Column:
     return F.filter(first, lambda v: v != "")
 
 
-def srcset_urls(html: Column | str) -> Column:
-    """First token of every candidate of img and picture source sets."""
-    clean = markup(html)
-    pictures = F.array_join(find_all(clean, inner("picture"), 1), " ")
+def srcset_urls_in(clean_markup: Column) -> Column:
+    pictures = F.array_join(find_all(clean_markup, inner("picture"), 1), " ")
     return F.concat(
-        _srcset_items(attr_values(clean, "img", "srcset")),
+        _srcset_items(attr_values(clean_markup, "img", "srcset")),
         _srcset_items(attr_values(pictures, "source", "srcset")),
     )
 
 
+def srcset_urls(html: Column | str) -> Column:
+    """First token of every candidate of img and picture source sets."""
+    return let(markup(html), srcset_urls_in)
+
+
+def _find_if(h: Column, marks: list[str], pattern: str, group: int = 0) -> Column:
+    """Matches of a costly pattern, tried only on pages with one of its marks."""
+    none = F.array().cast("array<string>")
+    return F.when(has_any(h, marks), find_all(h, pattern, group)).otherwise(none)
+
+
 def js_urls(html: Column | str) -> Column:
     h = as_col(html)
-    found = F.concat(*[find_all(h, p, 1) for p in JS_PATTERNS])
+    quoted = [find_all(h, p, 1) for p in JS_PATTERNS[:2]]
+    keyed = [_find_if(h, [p.split(":")[0] + ":"], p, 1) for p in JS_PATTERNS[2:]]
+    found = F.concat(*quoted, *keyed)
     return F.filter(found, lambda u: F.startswith(u, F.lit("http")) | F.startswith(u, F.lit("/")))
 
 
 def blob_urls(html: Column | str) -> Column:
     h = as_col(html)
-    return F.concat(find_all(h, BLOB_PATTERN), find_all(h, DATA_PATTERN))
+    return F.concat(_find_if(h, ["blob:http"], BLOB_PATTERN), _find_if(h, [";base64,"], DATA_PATTERN))
 
 
 def meta_refresh_url(html: Column | str) -> Column:
     """Target of the first refresh tag, or null."""
+    return meta_refresh_in(markup(html))
+
+
+def meta_refresh_in(clean_markup: Column) -> Column:
     refreshing = F.filter(
-        tags(markup(html), "meta"), lambda t: F.lower(attr(t, "http-equiv")).contains("refresh")
+        tags(clean_markup, "meta"), lambda t: F.lower(attr(t, "http-equiv")).contains("refresh")
     )
     target = F.regexp_extract(attr(F.get(refreshing, F.lit(0)), "content"), REFRESH_URL, 1)
     return F.nullif(target, F.lit(""))
@@ -177,7 +196,12 @@ def meta_refresh_url(html: Column | str) -> Column:
 
 def api_urls(html: Column | str) -> Column:
     h = as_col(html)
-    return F.concat(find_all(h, API_QUOTED, 1), find_all(h, API_FETCH, 1), find_all(h, API_XHR, 2))
+    versions = [f"/v{digit}" for digit in range(10)]
+    return F.concat(
+        _find_if(h, ["/api/", "/graphql", "/rest/", *versions], API_QUOTED, 1),
+        _find_if(h, ["fetch("], API_FETCH, 1),
+        _find_if(h, [".open("], API_XHR, 2),
+    )
 
 
 def resolve_all(urls: Column, base: Column | str) -> Column:

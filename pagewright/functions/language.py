@@ -9,8 +9,8 @@ from pagewright.functions.base import as_col, find_all
 from pagewright.functions.pages import header
 
 # Code point ranges.
-CJK = "[一-鿿㐀-䶿぀-ゟ゠-ヿ＀-￯]"
-RTL = "[֐-׿؀-ۿ܀-ݏ]"
+CJK = "[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u309f\u30a0-\u30ff\uff00-\uffef]"
+RTL = "[\u0590-\u05ff\u0600-\u06ff\u0700-\u074f]"
 # Charsets that the decoder knows, by header spelling.
 CHARSETS = {
     "utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII",
@@ -37,7 +37,7 @@ def fix_mojibake(text: Column | str, charset: str = "ISO-8859-1") -> Column:
     """Undo a decoding with the wrong charset; unchanged when not possible."""
     t = as_col(text)
     # A character outside the charset cannot be re-encoded: leave the text.
-    encodable = ~t.rlike("[^\u0000-ÿ]") if charset == "ISO-8859-1" else ~t.rlike("[^\u0000-\u007f]")
+    encodable = ~t.rlike("[^\u0000-\u00ff]") if charset == "ISO-8859-1" else ~t.rlike("[^\u0000-\u007f]")
     data = F.encode(F.when(encodable, t), charset)
     return F.when(F.coalesce(F.is_valid_utf8(data.cast("string")), F.lit(False)), F.decode(data, "UTF-8")).otherwise(t)
 

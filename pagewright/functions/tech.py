@@ -93,8 +93,11 @@ def detect_languages_backend(html: Column | str) -> Column:
     hrefs = anchor_hrefs(h)
     commented = has(h, "<!--") & has(F.lower(h), "php")
     tests = {name: has(generator, name) for name in GENERATOR_LANGUAGES}
+
+    def linked(suffix: str) -> Column:
+        return F.exists(hrefs, lambda x: F.endswith(x, F.lit(suffix)))
+
     for name, suffix in LINK_LANGUAGES:
-        linked = F.exists(hrefs, lambda x, s=suffix: F.endswith(x, F.lit(s)))
-        tests[name] = tests[name] | linked if name in tests else linked
+        tests[name] = tests[name] | linked(suffix) if name in tests else linked(suffix)
     tests["php"] = commented | tests["php"]
     return names_where(tests.items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,39 +50,42 @@ IMPORTANT_WORDS_BASIC = ["product", "article", "blog"]
 DOC_PATHS = ["/docs/", "/documentation/"]
 
 
+MARK = "\x01"
+ALL_PARTS = MARK.join(f"${i}" for i in range(1, 6))
+
+
 def _clean(url: Column) -> Column:
     """Tabs and line breaks never belong to a URL; neither does leading space."""
-    return F.ltrim(F.translate(url, "\t\r\n", ""))
+    dirty = "[\\t\\r\\n\\x01]"
+    return F.ltrim(F.when(url.rlike(dirty), F.regexp_replace(url, dirty, "")).otherwise(url))
 
 
-def _scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, SPLIT, 1))
+def _split(url: Column) -> Column:
+    """Scheme, netloc, path with params, query, fragment: one regex pass."""
+    return F.split(F.regexp_replace(url, SPLIT, ALL_PARTS), MARK)
 
 
-def _path_and_params(url: Column) -> Column:
-    return F.regexp_extract(url, SPLIT, 3)
+def _scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, SPLIT, 1))
 
 
 def url_parts(url: Column | str) -> Column:
     """Struct of scheme, netloc, path, params, query and fragment."""
 
-    def build(u: Column) -> Column:
-        scheme, full_path = _scheme(u), _path_and_params(u)
-        takes_params = scheme.isin(PARAM_SCHEMES)
+    def build(p: Column) -> Column:
+        scheme, full_path = F.lower(p[0]), p[2]
+        # Only the last path segment of some schemes carries ";params".
+        split_off = F.contains(full_path, F.lit(";")) & scheme.isin(PARAM_SCHEMES)
         return F.struct(
             scheme.alias("scheme"),
-            F.regexp_extract(u, SPLIT, 2).alias("netloc"),
-            F.when(takes_params, F.regexp_extract(full_path, PATH_HEAD, 1))
-            .otherwise(full_path)
-            .alias("path"),
-            F.when(takes_params, F.regexp_extract(full_path, PATH_PARAMS, 1))
-            .otherwise(F.lit(""))
-            .alias("params"),
-            F.regexp_extract(u, SPLIT, 4).alias("query"),
-            F.regexp_extract(u, SPLIT, 5).alias("fragment"),
+            p[1].alias("netloc"),
+            F.when(split_off, F.regexp_extract(full_path, PATH_HEAD, 1)).otherwise(full_path).alias("path"),
+            F.when(split_off, F.regexp_extract(full_path, PATH_PARAMS, 1)).otherwise(F.lit("")).alias("params"),
+            p[3].alias("query"),
+            p[4].alias("fragment"),
         )
 
-    return build(_clean(as_col(url)))
+    return let(_split(_clean(as_col(url))), build)
 
 
 def netloc_of(url: Column | str) -> Column:
@@ -146,7 +151,7 @@ def normalize_url(url: Column | str) -> Column:
     blank and tracking query parameters go, slashes collapse, keys are sorted.
     """
 
-    def build(p: Column) -> Column:
+    def rebuild(p: Column) -> Column:
         scheme, netloc, path = p["scheme"], F.lower(p["netloc"]), p["path"]
         host = (
             F.when(scheme == "http", F.regexp_replace(netloc, r":80$", ""))
@@ -154,15 +159,18 @@ def normalize_url(url: Column | str) -> Column:
             .otherwise(netloc)
         )
         trimmed = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-        clean_path = F.regexp_replace(trimmed, "/+", "/")
+        clean_path = F.when(F.contains(path, F.lit("//")), F.regexp_replace(trimmed, "/+", "/")).otherwise(trimmed)
         kept = F.filter(_pairs(p["query"]), lambda kv: ~kv["k"].isin(TRACKING_PARAMS))
         encoded = F.transform(
             F.array_sort(kept), lambda kv: F.concat(_encode(kv["k"]), F.lit("="), _encode(kv["v"]))
         )
         query = F.when(p["query"] == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
-        return _join_url(scheme, host, clean_path, query, F.lit(""))
+        return F.array(scheme, host, clean_path, query)
 
-    return let(url_parts(url), build)
+    def join(r: Column) -> Column:
+        return _join_url(r[0], r[1], r[2], r[3], F.lit(""))
+
+    return let(let(url_parts(url), rebuild), join)
 
 
 def url_fingerprint(url: Column | str) -> Column:
@@ -176,22 +184,23 @@ def url_hash(url: Column | str) -> Column:
 def base_of(url: Column | str) -> Column:
     """What reference resolution needs to know of the base URL."""
 
-    def build(u: Column) -> Column:
-        path = F.regexp_extract(u, SPLIT, 3)
-        dirs = F.split(path, "/")
+    def build(b: Column) -> Column:
+        p = b["parts"]
+        dirs = F.split(p[2], "/")
         return F.struct(
-            u.alias("url"),
-            _scheme(u).alias("scheme"),
-            F.regexp_extract(u, SPLIT, 2).alias("netloc"),
-            path.alias("path"),
-            F.regexp_extract(u, SPLIT, 4).alias("query"),
+            b["url"].alias("url"),
+            F.lower(p[0]).alias("scheme"),
+            p[1].alias("netloc"),
+            p[2].alias("path"),
+            p[3].alias("query"),
             # The last segment names the page itself unless it is empty.
             F.when(F.element_at(dirs, -1) != "", F.slice(dirs, F.lit(1), F.size(dirs) - 1))
             .otherwise(dirs)
             .alias("dirs"),
         )
 
-    return build(_clean(as_col(url)))
+    u = _clean(as_col(url))
+    return let(F.struct(u.alias("url"), _split(u).alias("parts")), build)
 
 
 def _remove_dots(segments: Column) -> Column:
@@ -215,23 +224,22 @@ def _merge_path(base: Column, path: Column) -> Column:
     def squeeze(segs: Column) -> Column:
         return F.filter(segs, lambda s, i: (i == 0) | (i == F.size(segs) - 1) | (s != ""))
 
-    simple = ~path.rlike(r"(?:^|/)\.{1,2}(?:/|$)") & ~F.contains(path, F.lit("//")) & F.startswith(path, F.lit("/"))
+    simple = F.startswith(path, F.lit("/")) & ~path.rlike(r"//|/\.{1,2}(?:/|$)")
     return F.when(simple, path).otherwise(let(let(segments, squeeze), _remove_dots))
 
 
 def resolve_against(base: Column, href: Column) -> Column:
     """Resolve ``href`` against a struct made by :func:`base_of`."""
 
-    def build(u: Column) -> Column:
-        own_scheme, netloc = _scheme(u), F.regexp_extract(u, SPLIT, 2)
-        scheme = F.when(own_scheme == "", base["scheme"]).otherwise(own_scheme)
-        path, query = F.regexp_extract(u, SPLIT, 3), F.regexp_extract(u, SPLIT, 4)
-        fragment = F.regexp_extract(u, SPLIT, 5)
-        foreign = (scheme != base["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
+    def build(h: Column) -> Column:
+        u, p = h["u"], h["p"]
+        scheme = F.when(p[0] == "", base["scheme"]).otherwise(F.lower(p[0]))
+        netloc, path, query, fragment = p[1], p[2], p[3], p[4]
+        same_scheme = (p[0] == "") | (F.lower(p[0]) == base["scheme"])
+        relative = same_scheme & base["scheme"].isin(RELATIVE_SCHEMES)
         return (
-            F.when(base["url"] == "", u)
+            F.when((base["url"] == "") | ((u != "") & ~relative), u)
             .when(u == "", base["url"])
-            .when(foreign, u)
             .when(netloc != "", _join_url(scheme, netloc, path, query, fragment))
             .when(
                 path == "",
@@ -243,10 +251,18 @@ def resolve_against(base: Column, href: Column) -> Column:
                     fragment,
                 ),
             )
-            .otherwise(_join_url(scheme, base["netloc"], _merge_path(base, path), query, fragment))
+            .otherwise(
+                let(
+                    _merge_path(base, path),
+                    lambda merged: _join_url(scheme, base["netloc"], merged, query, fragment),
+                )
+            )
         )
 
-    return let(_clean(href), build)
+    def split(u: Column) -> Column:
+        return F.struct(u.alias("u"), _split(u).alias("p"))
+
+    return let(let(_clean(href), split), build)
 
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
@@ -314,11 +330,11 @@ def trap_calendar(url: Column | str) -> Column:
 
 def trap_session(url: Column | str) -> Column:
     def build(pairs: Column) -> Column:
-        found = F.lit(False)
-        for name in SESSION_PARAMS:
-            first = F.get(F.filter(pairs, lambda kv, n=name: kv["k"] == n), F.lit(0))
-            found = found | F.coalesce(F.length(first["v"]) > SESSION_VALUE_LIMIT, F.lit(False))
-        return found
+        def long_value(name: str) -> Column:
+            first = F.get(F.filter(pairs, lambda kv: kv["k"] == name), F.lit(0))
+            return F.coalesce(F.length(first["v"]) > SESSION_VALUE_LIMIT, F.lit(False))
+
+        return reduce(Column.__or__, [long_value(name) for name in SESSION_PARAMS])
 
     u = as_col(url)
     # A URL without any key needs no splitting.

@@ -42,28 +42,30 @@ def language_profiles(corpus: DataFrame, lang: str = "lang", text: str = "text")
 def language_scores(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Mean log probability per row and language.
 
-    Grams are counted per row first. Profiles are folded to one row per gram
-    with only the gain over an unseen gram, so unknown grams join nothing.
+    A gram adds its gain over an unseen gram, so unknown grams join nothing.
+    With profiles small enough to broadcast, the grams of a row are summed
+    per language before anything is shuffled.
     """
     floors = profiles.groupBy("lang").agg(F.max("floor").alias("floor"))
     per_gram = profiles.groupBy("gram").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("g")))).alias(
-            "gains"
-        )
+        F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("g"))).alias("gains")
     )
-    counted = (
-        df.select(key, F.explode(grams(text)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
-    )
-    sizes = counted.groupBy(key).agg(F.sum("c").alias("total"))
+    split = df.select(key, grams(text).alias("_grams"))
     gains = (
-        counted.join(broadcast_if_small(per_gram, 1_000_000), "gram")
-        .select(key, "c", F.explode("gains").alias("lang", "g"))
+        split.select(key, F.explode("_grams").alias("gram"))
+        .join(broadcast_if_small(per_gram, 500_000), "gram")
+        .select(key, F.inline("gains"))
         .groupBy(key, "lang")
-        .agg(F.sum(F.col("c") * F.col("g")).alias("gain"))
+        .agg(F.sum("g").alias("gain"))
     )
     # Languages are few by nature; every row is scored for each of them.
     languages = floors.agg(F.collect_list(F.struct("lang", "floor")).alias("langs"))
-    every = sizes.join(F.broadcast(languages)).select(key, "total", F.inline("langs"))
+    every = (
+        split.select(key, F.size("_grams").alias("total"))
+        .filter("total > 0")
+        .join(F.broadcast(languages))
+        .select(key, "total", F.inline("langs"))
+    )
     return every.join(gains, [key, "lang"], "left").select(
         key, "lang", (F.col("floor") + F.coalesce("gain", F.lit(0.0)) / F.col("total")).alias("score")
     )

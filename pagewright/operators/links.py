@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import html as H
-from pagewright.functions.base import occurrences
+from pagewright.functions.base import let, occurrences
 from pagewright.functions.urls import base_of, normalize_url, osint_normalize_url, resolve_against
-from pagewright.functions.base import let
 
 
 def _explode(pages: DataFrame, kind: str, targets: Column) -> DataFrame:
@@ -64,9 +63,10 @@ def page_targets() -> Column:
 
     The base URL is split once and the comment-free markup is built once.
     """
-    clean = H.markup("html")
 
-    def gather(b: Column) -> Column:
+    def gather(page: Column) -> Column:
+        b, clean = page["base"], page["clean"]
+
         def plain(urls: Column) -> Column:
             return F.transform(urls, lambda u: resolve_against(b, u))
 
@@ -81,17 +81,17 @@ def page_targets() -> Column:
                     H.attr_values(clean, "a", "href"),
                     H.attr_values(clean, "link", "href"),
                     H.attr_values(clean, "script", "src"),
-                    H.img_srcs("html"),
-                    H.srcset_urls("html"),
+                    H.img_srcs_in(clean),
+                    H.srcset_urls_in(clean),
                 )
             ),
             web_first(H.js_urls("html")),
             H.blob_urls("html"),
-            plain(_refresh()),
+            plain(F.array_compact(F.array(H.meta_refresh_in(clean)))),
             F.array_distinct(web_first(H.api_urls("html"))),
         )
 
-    return let(base_of("url"), gather)
+    return let(F.struct(base_of("url").alias("base"), H.markup("html").alias("clean")), gather)
 
 
 def link_targets() -> Column:
