@@ -457,8 +457,10 @@ VALUE_ATTRS = [
 
 def microdata_props(html: Column | str) -> Column:
     """Array of (itemtype, prop, value), one per itemprop, in page order."""
-    scopes = F.slice(
-        F.split(F.regexp_replace(markup(html), SCOPE_TAG, MARK + "$1"), MARK), F.lit(2), F.lit(2**31 - 1)
+    # What comes before the first scope is no microdata.
+    scopes = let(
+        F.split(F.regexp_replace(markup(html), SCOPE_TAG, MARK + "$1"), MARK),
+        lambda parts: F.slice(parts, F.lit(2), F.size(parts)),
     )
 
     def prop(hit: Column, kind: Column) -> Column:

@@ -1,12 +1,10 @@
-"""Explicit schemas; nothing is inferred at read time."""
+"""Explicit schemas as DDL; nothing is inferred at read time."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+RAW_PAGES = "page_id BIGINT, url STRING, html STRING"
 
-RAW_PAGES = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING")
-
-PAGES = T.StructType.fromDDL(
+PAGES = (
     "url STRING, status_code INT, headers MAP<STRING,STRING>, content BINARY, html STRING, fetched_at TIMESTAMP"
 )
 
@@ -15,21 +13,21 @@ TEXT_INFO = (
     "language: STRING, word_count: INT, description: STRING, clean_text: STRING>"
 )
 
-STORED_RECORD = T.StructType.fromDDL(
+STORED_RECORD = (
     f"url STRING, content STRUCT<text: {TEXT_INFO}>, "
     "metadata STRUCT<jsonld: ARRAY<STRING>, microdata: ARRAY<STRING>, "
     "opengraph: MAP<STRING,STRING>, twitter: MAP<STRING,STRING>>, timestamp STRING"
 )
 
-FRONTIER = T.StructType.fromDDL("url STRING, depth INT, priority DOUBLE")
-VISITED = T.StructType.fromDDL("url STRING")
-COUNTERS = T.StructType.fromDDL("processed BIGINT, success BIGINT, errors BIGINT, saved_at TIMESTAMP")
+FRONTIER = "url STRING, depth INT, priority DOUBLE"
+VISITED = "url STRING"
+COUNTERS = "processed BIGINT, success BIGINT, errors BIGINT, saved_at TIMESTAMP"
 
-EVENTS = T.StructType.fromDDL(
+EVENTS = (
     "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
 
-LOG_LINE = T.StructType.fromDDL(
+LOG_LINE = (
     "timestamp STRING, level STRING, message STRING, error_type STRING, error_message STRING, "
     "context MAP<STRING,STRING>"
 )

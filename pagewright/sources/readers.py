@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagewright import schemas
 
@@ -19,7 +18,7 @@ TEXT_MEMBERS = (".txt", ".html", ".xml")
 CHAPTER_MEMBERS = (".html", ".xhtml", ".htm")
 
 
-def read_pages(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_PAGES) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, schema: str = schemas.RAW_PAGES) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 

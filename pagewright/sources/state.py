@@ -27,14 +27,15 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def list_versions(spark: SparkSession, path: str, marker: str = PUBLISHED) -> list[int]:
+    """Numbers of the ``v=<n>`` folders that hold the marker, ascending."""
     fs, Path = _fs(spark, path)
     if not fs.exists(Path(path)):
         return []
     found = []
     for status in fs.listStatus(Path(path)):
         match = re.fullmatch(r"v=(\d+)", status.getPath().getName())
-        if match and fs.exists(Path(f"{path}/v={match[1]}/{PUBLISHED}")):
+        if match and fs.exists(Path(f"{path}/v={match[1]}/{marker}")):
             found.append(int(match[1]))
     return sorted(found)
 
@@ -44,7 +45,7 @@ def save_state(
 ) -> int:
     """Write a new version whole, then publish it by a marker file."""
     spark = visited.sparkSession
-    version = (_versions(spark, path) or [0])[-1] + 1
+    version = (list_versions(spark, path) or [0])[-1] + 1
     base = f"{path}/v={version}"
     counters.select("processed", "success", "errors").withColumn("saved_at", F.current_timestamp()).write.mode(
         "overwrite"
@@ -59,7 +60,7 @@ def save_state(
 
 def load_state(spark: SparkSession, path: str) -> CrawlState | None:
     """Latest published version; without a saved frontier that part is empty."""
-    versions = _versions(spark, path)
+    versions = list_versions(spark, path)
     if not versions:
         return None
     base = f"{path}/v={versions[-1]}"
