@@ -12,6 +12,7 @@ from checks import sqlkit as S
 from checks.registry import check, enriched, joined, pages, scratch, table
 from checks.page_checks import TITLE, WORDS
 from checks.url_checks import LINKS, OSINT, PRIORITY, follow_sql
+from pagewright.functions import fingerprints as FP
 from pagewright.functions import scoring as SC
 from pagewright.operators import frontier as FR
 from pagewright.operators import graph as G
@@ -63,11 +64,11 @@ def simhash(spark, d):
     )
 
 
-PARAMS = D.permutation_params()
+PARAMS = FP.permutation_params()
 MINHASH = f"""tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM documents),
- base AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT & {D.PRIME} AS h FROM tok),
- mh AS (SELECT doc_id, {', '.join(f'min(({a} * h + {b}) % {D.PRIME}) AS m{i}' for i, (a, b) in enumerate(PARAMS))} FROM base GROUP BY doc_id)"""
-ALL_M = "[" + ", ".join(f"m{i}" for i in range(D.PERMUTATIONS)) + "]"
+ base AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT & {FP.PRIME} AS h FROM tok),
+ mh AS (SELECT doc_id, {', '.join(f'min(({a} * h + {b}) % {FP.PRIME}) AS m{i}' for i, (a, b) in enumerate(PARAMS))} FROM base GROUP BY doc_id)"""
+ALL_M = "[" + ", ".join(f"m{i}" for i in range(FP.PERMUTATIONS)) + "]"
 
 
 @check("minhash", f"WITH {MINHASH} SELECT doc_id, array_to_string({ALL_M}, ',') AS sig FROM mh")
@@ -140,7 +141,7 @@ def minhash_lsh_pairs(spark, d):
 @check(
     "jaccard_verify",
     f"""WITH {LSH}, c AS (SELECT DISTINCT id_a, doc_id AS id_b FROM hub WHERE id_a <> doc_id)
- SELECT id_a, id_b, ({' + '.join(f'(x.m{i} = y.m{i})::INT' for i in range(D.PERMUTATIONS))}) / 128.0::DOUBLE AS jaccard
+ SELECT id_a, id_b, ({' + '.join(f'(x.m{i} = y.m{i})::INT' for i in range(FP.PERMUTATIONS))}) / 128.0::DOUBLE AS jaccard
  FROM c JOIN mh x ON x.doc_id = c.id_a JOIN mh y ON y.doc_id = c.id_b""",
 )
 def jaccard_verify(spark, d):
@@ -828,7 +829,7 @@ def stream_domain_cap(spark, d):
     path = scratch(spark, "cap")
     source = R.stream_pages(spark, d, glob="pages.parquet")
     R.run_once(R.stream_domain_cap(source, path, 2, ["page_id"]), f"{path}/checkpoint")
-    return spark.read.schema("page_id BIGINT").parquet(f"{path}/accepted")
+    return spark.read.schema("page_id BIGINT").parquet(f"{path}/accepted").select("page_id")
 
 
 @check("log_events", "SELECT event_type AS level, CASE WHEN event_type = 'error' THEN 'E' || user_id % 3 END AS error_type, count(*) AS n FROM events GROUP BY ALL")

@@ -15,6 +15,7 @@ from pagewright.functions import scoring as SC
 from pagewright.functions import tech as T
 from pagewright.operators import language as OL
 from pagewright.plans import osint, process
+from pagewright.session import cut_lineage
 
 E = S.E
 
@@ -304,7 +305,7 @@ SCORES = f"""{GRAMS}, c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY A
 )
 def detect_language(spark, d):
     docs = table(spark, d, "documents")
-    return OL.detect_language(docs, OL.language_profiles(docs), "doc_id").select("doc_id", "language")
+    return OL.detect_language(docs, cut_lineage(OL.language_profiles(docs)), "doc_id").select("doc_id", "language")
 
 
 @check(
@@ -315,7 +316,7 @@ def detect_language(spark, d):
 )
 def detect_languages(spark, d):
     docs = table(spark, d, "documents")
-    out = OL.detect_languages(docs, OL.language_profiles(docs), "doc_id")
+    out = OL.detect_languages(docs, cut_lineage(OL.language_profiles(docs)), "doc_id")
     return out.withColumn("prob", F.round("prob", 4))
 
 

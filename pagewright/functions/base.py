@@ -54,3 +54,14 @@ def names_where(tests: Iterable[tuple[str, Column]]) -> Column:
     """Sorted array of the names whose condition holds."""
     picked = F.array(*[F.when(cond, F.lit(name)) for name, cond in sorted(tests, key=lambda t: t[0])])
     return F.array_compact(picked)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value.
+
+    The parser stops after the first value, so trailing text is ruled out by
+    parsing the value inside an array and inside an object.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return in_array.isNotNull() & in_object.isNotNull()

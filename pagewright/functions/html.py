@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.base import as_col, find_all, has, has_any, let, strip
+from pagewright.functions.base import as_col, find_all, has, has_any, is_json, let, strip
 from pagewright.functions.urls import base_of, resolve_against, resolve_url, url_parts
 
 COMMENT = r"<!--.*?-->"
@@ -220,12 +220,15 @@ def resolve_unless_http(urls: Column, base: Column | str) -> Column:
 # --- metadata ---------------------------------------------------------------
 
 
+def title_in(clean_markup: Column) -> Column:
+    return strip(unescape(F.regexp_extract(clean_markup, inner("title"), 1)))
+
+
 def page_title(html: Column | str) -> Column:
-    title = F.regexp_extract(markup(html), inner("title"), 1)
-    return strip(unescape(title))
+    return title_in(markup(html))
 
 
-def meta_entries(html: Column | str) -> Column:
+def meta_entries(clean_markup: Column) -> Column:
     """Array of (name, content) in page order, both non-empty."""
 
     def entry(t: Column) -> Column:
@@ -235,7 +238,7 @@ def meta_entries(html: Column | str) -> Column:
             attr(t, "content").alias("content"),
         )
 
-    entries = F.transform(tags(markup(html), "meta"), entry)
+    entries = F.transform(tags(clean_markup, "meta"), entry)
     return F.filter(entries, lambda e: (e["name"] != "") & (e["content"] != ""))
 
 
@@ -257,43 +260,61 @@ def _last_wins(entries: Column) -> Column:
     return let(entries, build)
 
 
-def page_meta(html: Column | str) -> Column:
-    return _last_wins(meta_entries(html))
-
-
-def meta_named(html: Column | str, name: str) -> Column:
+def _named(entries: Column, name: str) -> Column:
     """Last content of a meta name in any letter case, or null."""
-    named = F.filter(meta_entries(html), lambda e: F.lower(e["name"]) == name)
+    named = F.filter(entries, lambda e: F.lower(e["name"]) == name)
     return F.try_element_at(F.transform(named, lambda e: e["content"]), F.lit(-1))
 
 
+def meta_map_in(entries: Column) -> Column:
+    return _last_wins(entries)
+
+
+def description_in(entries: Column) -> Column:
+    return F.coalesce(_named(entries, "description"), F.lit(""))
+
+
+def keywords_in(entries: Column) -> Column:
+    value = _named(entries, "keywords")
+    return F.coalesce(F.transform(F.split(value, ","), strip), F.array().cast("array<string>"))
+
+
+def page_meta(html: Column | str) -> Column:
+    return meta_map_in(meta_entries(markup(html)))
+
+
 def page_description(html: Column | str) -> Column:
-    return F.coalesce(meta_named(html, "description"), F.lit(""))
+    return description_in(meta_entries(markup(html)))
 
 
 def page_keywords(html: Column | str) -> Column:
-    value = meta_named(html, "keywords")
-    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(value, ","), strip)
-    )
+    return keywords_in(meta_entries(markup(html)))
 
 
-def _prefixed(html: Column | str, attribute: str, prefix: str) -> Column:
+def _prefixed(meta_tags: Column, attribute: str, prefix: str) -> Column:
     def entry(t: Column) -> Column:
         return F.struct(
             F.replace(attr(t, attribute), F.lit(prefix)).alias("name"), attr(t, "content").alias("content")
         )
 
-    wanted = F.filter(tags(markup(html), "meta"), lambda t: F.startswith(attr(t, attribute), F.lit(prefix)))
+    wanted = F.filter(meta_tags, lambda t: F.startswith(attr(t, attribute), F.lit(prefix)))
     return _last_wins(F.transform(wanted, entry))
 
 
+def opengraph_in(meta_tags: Column) -> Column:
+    return _prefixed(meta_tags, "property", "og:")
+
+
+def twitter_in(meta_tags: Column) -> Column:
+    return _prefixed(meta_tags, "name", "twitter:")
+
+
 def opengraph(html: Column | str) -> Column:
-    return _prefixed(html, "property", "og:")
+    return opengraph_in(tags(markup(html), "meta"))
 
 
 def twitter_card(html: Column | str) -> Column:
-    return _prefixed(html, "name", "twitter:")
+    return twitter_in(tags(markup(html), "meta"))
 
 
 JSONLD = (
@@ -308,7 +329,7 @@ def jsonld_bodies(html: Column | str) -> Column:
 
 def jsonld(html: Column | str) -> Column:
     """Bodies of the JSON-LD scripts that are valid JSON."""
-    return F.filter(F.transform(jsonld_bodies(html), strip), lambda j: F.try_parse_json(j).isNotNull())
+    return F.filter(F.transform(jsonld_bodies(html), strip), is_json)
 
 
 def canonical_url(html: Column | str, base: Column | str) -> Column:
@@ -457,9 +478,13 @@ VALUE_ATTRS = [
 
 def microdata_props(html: Column | str) -> Column:
     """Array of (itemtype, prop, value), one per itemprop, in page order."""
+    return microdata_in(markup(html))
+
+
+def microdata_in(clean_markup: Column) -> Column:
     # What comes before the first scope is no microdata.
     scopes = let(
-        F.split(F.regexp_replace(markup(html), SCOPE_TAG, MARK + "$1"), MARK),
+        F.split(F.regexp_replace(clean_markup, SCOPE_TAG, MARK + "$1"), MARK),
         lambda parts: F.slice(parts, F.lit(2), F.size(parts)),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.base import as_col, has, has_any, occurrences, strip
+from pagewright.functions.base import as_col, has, has_any, let, occurrences, strip
 from pagewright.functions.html import page_title
 from pagewright.functions.urls import trap_reason
 
@@ -39,17 +39,21 @@ OFFICE_SUBTYPES = [
 def is_soft_404(html: Column | str, status_code: Column | None = None) -> Column:
     """Error page served with a success status."""
     h = as_col(html)
-    text = F.lower(h)
-    hits = F.lit(0)
-    for phrase in NOT_FOUND_PHRASES:
-        hits = hits + has(text, phrase).cast("int")
-    by_text = (
-        F.when(F.coalesce(h, F.lit("")) == "", False)
-        .when(F.length(text) < 200, has_any(text, SHORT_PAGE_PHRASES))
-        .when((F.length(text) < 1000) & (hits >= 2), True)
-        .when(hits >= 3, True)
-        .otherwise(has_any(F.lower(page_title(h)), TITLE_PHRASES))
-    )
+
+    def judge(text: Column) -> Column:
+        hits = F.lit(0)
+        for phrase in NOT_FOUND_PHRASES:
+            hits = hits + has(text, phrase).cast("int")
+        return let(
+            hits,
+            lambda n: F.when(F.coalesce(text, F.lit("")) == "", False)
+            .when(F.length(text) < 200, has_any(text, SHORT_PAGE_PHRASES))
+            .when((F.length(text) < 1000) & (n >= 2), True)
+            .when(n >= 3, True)
+            .otherwise(has_any(F.lower(page_title(h)), TITLE_PHRASES)),
+        )
+
+    by_text = let(F.lower(h), judge)
     if status_code is None:
         return by_text
     return F.when(F.coalesce(status_code.isin(404, 410), F.lit(False)), True).otherwise(by_text)
@@ -61,20 +65,22 @@ def needs_js_markers(html: Column | str) -> Column:
 
 
 def needs_js_heuristic(html: Column | str) -> Column:
-    h = F.lower(as_col(html))
-    size = F.length(strip(h))
-    scripted = has(h, "<script")
-    anchors = occurrences(h, "<a")
-    any_sign = (
-        (size < 500)
-        | has(h, "data-reactroot")
-        | has(h, "ng-app")
-        | has(h, "ng-controller")
-        | (scripted & (occurrences(h, "react") > 2))
-        | (scripted & (occurrences(h, "angular") > 2))
-        | ((occurrences(h, "<div") > anchors * 10) & (anchors > 0) & (size < 2000))
-    )
-    return F.when(h == "", False).otherwise(any_sign)
+
+    def judge(h: Column) -> Column:
+        size, anchors = F.length(strip(h)), occurrences(h, "<a")
+        scripted = has(h, "<script")
+        any_sign = (
+            (size < 500)
+            | has(h, "data-reactroot")
+            | has(h, "ng-app")
+            | has(h, "ng-controller")
+            | (scripted & (occurrences(h, "react") > 2))
+            | (scripted & (occurrences(h, "angular") > 2))
+            | ((size < 2000) & (anchors > 0) & (occurrences(h, "<div") > anchors * 10))
+        )
+        return F.when(h == "", False).otherwise(any_sign)
+
+    return let(F.lower(as_col(html)), judge)
 
 
 def detect_spa(html: Column | str) -> Column:

@@ -60,49 +60,52 @@ def quality_score(html: Column | str) -> Column:
     return let(raw_text(h), build)
 
 
-def _raw_page_scores(html: Column, url: Column) -> list[Column]:
+def _url_class(url: Column) -> Column:
     lowered = F.lower(url)
-    text = F.lower(raw_text(html))
-    home = (
-        (occurrences(url, "/") <= 2) | F.endswith(url, F.lit("/")) | has(lowered, "index")
-    )
+    home = (occurrences(url, "/") <= 2) | F.endswith(url, F.lit("/")) | has(lowered, "index")
     ladder = None
     for name, marks in URL_MARKS:
         test = has_any(lowered, marks)
         ladder = F.when(test, name) if ladder is None else ladder.when(test, name)
-    ladder = ladder.when(home, "homepage").otherwise("generic")
-    wrote = has_any(text, ARTICLE_HINTS)
-    article = markup(html).rlike(open_tag("article"))
-
-    def base(name: str, value: float) -> Column:
-        return F.when(ladder == name, value).otherwise(0.0)
-
-    return [
-        F.greatest(
-            base("news", 0.8), F.when(wrote, 0.5).otherwise(0.0), F.when(article, 0.4).otherwise(0.0)
-        ),
-        F.greatest(
-            base("blog", 0.8), F.when(wrote, 0.6).otherwise(0.0), F.when(article, 0.5).otherwise(0.0)
-        ),
-        F.greatest(base("product", 0.8), F.when(has_any(text, PRODUCT_HINTS), 0.6).otherwise(0.0)),
-        base("homepage", 0.7),
-        base("category", 0.8),
-        F.greatest(base("documentation", 0.8), F.when(has_any(text, DOC_HINTS), 0.6).otherwise(0.0)),
-        base("generic", 0.5),
-    ]
+    return ladder.when(home, "homepage").otherwise("generic")
 
 
 def page_type_scores(html: Column | str, url: Column | str) -> Column:
     """Map from page type to a confidence; the values add up to one."""
-    scores = F.array(*_raw_page_scores(as_col(html), as_col(url)))
+    h, u = as_col(html), as_col(url)
+
+    def hints(text: Column) -> Column:
+        return F.struct(
+            has_any(text, ARTICLE_HINTS).alias("wrote"),
+            has_any(text, PRODUCT_HINTS).alias("sells"),
+            has_any(text, DOC_HINTS).alias("explains"),
+            markup(h).rlike(open_tag("article")).alias("article"),
+            _url_class(u).alias("kind"),
+        )
+
+    def points(test: Column, value: float) -> Column:
+        return F.when(test, value).otherwise(0.0)
+
+    def scores(x: Column) -> Column:
+        def base(name: str, value: float) -> Column:
+            return points(x["kind"] == name, value)
+
+        return F.array(
+            F.greatest(base("news", 0.8), points(x["wrote"], 0.5), points(x["article"], 0.4)),
+            F.greatest(base("blog", 0.8), points(x["wrote"], 0.6), points(x["article"], 0.5)),
+            F.greatest(base("product", 0.8), points(x["sells"], 0.6)),
+            base("homepage", 0.7),
+            base("category", 0.8),
+            F.greatest(base("documentation", 0.8), points(x["explains"], 0.6)),
+            base("generic", 0.5),
+        )
 
     def normalised(s: Column) -> Column:
         total = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x)
-        return F.map_from_arrays(
-            F.array(*[F.lit(t) for t in PAGE_TYPES]), F.transform(s, lambda x: x / total)
-        )
+        names = F.array(*[F.lit(t) for t in PAGE_TYPES])
+        return let(total, lambda t: F.map_from_arrays(names, F.transform(s, lambda x: x / t)))
 
-    return let(scores, normalised)
+    return let(let(let(F.lower(raw_text(h)), hints), scores), normalised)
 
 
 def top_type(scores: Column | str, types: list[str] = PAGE_TYPES) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.base import as_col, find_all
-from pagewright.operators.skew import broadcast_if_small, first_per_key
+from pagewright.operators.skew import broadcast_if_small
 
 GRAM = 3
 DEFAULT_LANGUAGE = "en"
+# Bound on the languages of one profile table, whose names are collected.
+MAX_LANGUAGES = 500
 
 
 def grams(text: Column | str, n: int = GRAM) -> Column:
@@ -43,43 +45,54 @@ def language_scores(df: DataFrame, profiles: DataFrame, key: str, text: str = "t
     """Mean log probability per row and language.
 
     A gram adds its gain over an unseen gram, so unknown grams join nothing.
-    With profiles small enough to broadcast, the grams of a row are summed
-    per language before anything is shuffled.
+    Profiles are folded to one row per gram with a column per language; small
+    enough, they are broadcast, and a row's grams are summed before anything
+    is shuffled. The list of languages is the only thing collected.
     """
-    floors = profiles.groupBy("lang").agg(F.max("floor").alias("floor"))
+    floors = profiles.groupBy("lang").agg(F.max("floor").alias("floor")).orderBy("lang").limit(MAX_LANGUAGES + 1)
+    languages = floors.collect()
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in the profiles")
     per_gram = profiles.groupBy("gram").agg(
-        F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("g"))).alias("gains")
+        *[
+            F.sum(F.when(F.col("lang") == row["lang"], F.col("logp") - F.col("floor")).otherwise(0.0)).alias(f"g{i}")
+            for i, row in enumerate(languages)
+        ]
     )
-    split = df.select(key, grams(text).alias("_grams"))
-    gains = (
-        split.select(key, F.explode("_grams").alias("gram"))
-        .join(broadcast_if_small(per_gram, 500_000), "gram")
-        .select(key, F.inline("gains"))
-        .groupBy(key, "lang")
-        .agg(F.sum("g").alias("gain"))
+    split = df.select(key, grams(text).alias("_grams")).select(
+        key, F.size("_grams").alias("total"), F.explode("_grams").alias("gram")
     )
-    # Languages are few by nature; every row is scored for each of them.
-    languages = floors.agg(F.collect_list(F.struct("lang", "floor")).alias("langs"))
-    every = (
-        split.select(key, F.size("_grams").alias("total"))
-        .filter("total > 0")
-        .join(F.broadcast(languages))
-        .select(key, "total", F.inline("langs"))
+    sums = (
+        split.join(broadcast_if_small(per_gram, 500_000), "gram", "left")
+        .groupBy(key)
+        .agg(
+            F.first("total").alias("total"),
+            *[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(languages))],
+        )
     )
-    return every.join(gains, [key, "lang"], "left").select(
-        key, "lang", (F.col("floor") + F.coalesce("gain", F.lit(0.0)) / F.col("total")).alias("score")
+    scored = F.array(
+        *[
+            F.struct(
+                F.lit(row["lang"]).alias("lang"),
+                (F.lit(row["floor"]) + F.coalesce(f"g{i}", F.lit(0.0)) / F.col("total")).alias("score"),
+            )
+            for i, row in enumerate(languages)
+        ]
+    )
+    return sums.select(key, F.inline(scored))
+
+
+def _candidates(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row the list of (score, lang), best first after sorting."""
+    return language_scores(df, profiles, key, text).groupBy(key).agg(
+        F.collect_list(F.struct((-F.col("score")).alias("loss"), "lang")).alias("langs")
     )
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Best language per row; ``en`` when the text gives nothing to judge."""
-    scores = language_scores(df, profiles, key, text)
-    best = first_per_key(
-        scores.select(key, (-F.col("score")).alias("loss"), F.col("lang").alias("language")),
-        [key],
-        ["loss", "language"],
-    )
-    return df.join(best.select(key, "language"), key, "left").withColumn(
+    best = _candidates(df, profiles, key, text).select(key, F.array_min("langs")["lang"].alias("language"))
+    return df.join(best, key, "left").withColumn(
         "language", F.coalesce("language", F.lit(DEFAULT_LANGUAGE))
     )
 
@@ -88,14 +101,19 @@ def detect_languages(
     df: DataFrame, profiles: DataFrame, key: str, text: str = "text", sharpness: float = 20.0
 ) -> DataFrame:
     """All candidates with a probability: a softmax of the scores per row."""
-    scores = language_scores(df, profiles, key, text)
-    tops = scores.groupBy(key).agg(F.max("score").alias("top"), F.count("*").alias("n"))
-    weighted = scores.join(tops, key).select(
-        key, "lang", F.exp((F.col("score") - F.col("top")) * sharpness).alias("w")
+    found = _candidates(df, profiles, key, text)
+    least = F.array_min("langs")["loss"]
+    weights = F.transform(
+        "langs",
+        lambda c: F.struct(c["lang"].alias("lang"), F.exp((least - c["loss"]) * sharpness).alias("w")),
+    )
+    known = (
+        found.select(key, weights.alias("ws"))
+        .withColumn("sum", F.aggregate("ws", F.lit(0.0), lambda acc, c: acc + c["w"]))
+        .select(key, "sum", F.inline("ws"))
+        .select(key, "lang", (F.col("w") / F.col("sum")).alias("prob"))
     )
-    sums = weighted.groupBy(key).agg(F.sum("w").alias("sum"))
-    known = weighted.join(sums, key).select(key, "lang", (F.col("w") / F.col("sum")).alias("prob"))
-    missing = df.join(tops, key, "left_anti").select(
+    missing = df.join(found, key, "left_anti").select(
         key, F.lit(DEFAULT_LANGUAGE).alias("lang"), F.lit(1.0).alias("prob")
     )
     return known.unionByName(missing)

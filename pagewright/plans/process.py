@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import html as H
+from pagewright.functions.base import let, strip
 from pagewright.functions.pages import (
     content_route,
     needs_js_heuristic,
     needs_js_markers,
     reject_reason,
 )
-from pagewright.functions.base import strip
 from pagewright.functions.scoring import page_type_scores, top_type
 from pagewright.operators.language import DEFAULT_LANGUAGE, detect_language
 from pagewright.operators.links import link_targets
@@ -73,19 +73,29 @@ def needs_js(pages: DataFrame, rules: Sequence[SiteRule] = ()) -> DataFrame:
 def text_info(html: Column | str = "html", language: Column | None = None, clean: bool = False) -> Column:
     """Title, text, meta, keywords, language, word count and description."""
     h = F.col(html) if isinstance(html, str) else html
-    text = H.visible_text(h)
-    fields = [
-        H.page_title(h).alias("title"),
-        text.alias("text"),
-        H.page_meta(h).alias("meta"),
-        H.page_keywords(h).alias("keywords"),
-        (F.lit(DEFAULT_LANGUAGE) if language is None else language).alias("language"),
-        H.word_count(text).alias("word_count"),
-        H.page_description(h).alias("description"),
-    ]
-    if clean:
-        fields.append(H.main_content(h).alias("clean_text"))
-    return F.struct(*fields)
+
+    def build(page: Column) -> Column:
+        fields = [
+            page["title"].alias("title"),
+            page["text"].alias("text"),
+            H.meta_map_in(page["metas"]).alias("meta"),
+            H.keywords_in(page["metas"]).alias("keywords"),
+            (F.lit(DEFAULT_LANGUAGE) if language is None else language).alias("language"),
+            H.word_count(page["text"]).alias("word_count"),
+            H.description_in(page["metas"]).alias("description"),
+        ]
+        if clean:
+            fields.append(H.main_content(h).alias("clean_text"))
+        return F.struct(*fields)
+
+    def parse(m: Column) -> Column:
+        return F.struct(
+            H.title_in(m).alias("title"),
+            H.meta_entries(m).alias("metas"),
+            H.visible_text(h).alias("text"),
+        )
+
+    return let(let(H.markup(h), parse), build)
 
 
 def extract_text(pages: DataFrame, profiles: DataFrame | None = None, key: str = "page_id") -> DataFrame:
@@ -102,12 +112,18 @@ def extract_text(pages: DataFrame, profiles: DataFrame | None = None, key: str =
 
 
 def structured(html: Column | str = "html") -> Column:
-    return F.struct(
-        H.jsonld(html).alias("jsonld"),
-        H.microdata_props(html).alias("microdata"),
-        H.opengraph(html).alias("opengraph"),
-        H.twitter_card(html).alias("twitter"),
-    )
+    def build(m: Column) -> Column:
+        return let(
+            H.tags(m, "meta"),
+            lambda metas: F.struct(
+                H.jsonld(html).alias("jsonld"),
+                H.microdata_in(m).alias("microdata"),
+                H.opengraph_in(metas).alias("opengraph"),
+                H.twitter_in(metas).alias("twitter"),
+            ),
+        )
+
+    return let(H.markup(html), build)
 
 
 def extract_structured(pages: DataFrame) -> DataFrame:

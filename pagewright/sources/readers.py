@@ -22,6 +22,16 @@ def read_pages(spark: SparkSession, path: str, schema: str = schemas.RAW_PAGES)
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan of fewer splits than the session has cores.
+
+    Text work is heavy per row; a small table in one file would otherwise run
+    on one core. A large table has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def as_pages(raw: DataFrame) -> DataFrame:
     """Fill the response columns that a bare (url, html) table lacks."""
     have = set(raw.columns)

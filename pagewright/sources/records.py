@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.base import as_col, strip
+from pagewright.functions.base import as_col, is_json, strip
 from pagewright.functions.pages import content_route, header
 from pagewright.operators.skew import top_per_group
 
@@ -140,7 +140,7 @@ def json_profile(payload: Column | str) -> Column:
     )
     keys = F.coalesce(F.json_object_keys(p), F.array().cast("array<string>"))
     return F.when(
-        F.try_parse_json(p).isNotNull(),
+        is_json(p),
         F.struct(
             name.alias("type"),
             F.when(name == "dict", keys).otherwise(F.array().cast("array<string>")).alias("keys"),
