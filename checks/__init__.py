@@ -1 +1,7 @@
 """Registered queries and the SQL each one is compared with."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -168,7 +168,7 @@ def with_resolved(src: str, base: str, href: str, out: str) -> str:
  FROM (SELECT *, CASE WHEN _h_scheme = '' THEN _b_scheme ELSE _h_scheme END AS _sc,
   CASE WHEN string_split(_b_full, '/')[-1] <> '' THEN string_split(_b_full, '/')[:-2] ELSE string_split(_b_full, '/') END AS _dirs,
   CASE WHEN _h_full LIKE '/%' THEN string_split(_h_full, '/') ELSE list_concat(_dirs, string_split(_h_full, '/')) END AS _segs,
-  list_filter(_segs, lambda x, i: i = 1 OR i = len(_segs) OR x <> '') AS _sq,
+  list_filter(_segs, lambda x, i: _h_full LIKE '/%' OR i = 1 OR i = len(_segs) OR x <> '') AS _sq,
   list_reduce(_sq, lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END, '')
    || CASE WHEN _sq[-1] IN ('.', '..') THEN '/' ELSE '' END AS _acc,
   CASE WHEN _acc[2:] = '' THEN '/' ELSE _acc[2:] END AS _mp

@@ -219,13 +219,15 @@ def _remove_dots(segments: Column) -> Column:
 
 def _merge_path(base: Column, path: Column) -> Column:
     own = F.split(path, "/")
-    segments = F.when(F.startswith(path, F.lit("/")), own).otherwise(F.concat(base["dirs"], own))
+    rooted = F.startswith(path, F.lit("/"))
 
     def squeeze(segs: Column) -> Column:
         return F.filter(segs, lambda s, i: (i == 0) | (i == F.size(segs) - 1) | (s != ""))
 
-    simple = F.startswith(path, F.lit("/")) & ~path.rlike(r"//|/\.{1,2}(?:/|$)")
-    return F.when(simple, path).otherwise(let(let(segments, squeeze), _remove_dots))
+    # Only a path merged with the base loses its empty inner segments.
+    segments = F.when(rooted, own).otherwise(let(F.concat(base["dirs"], own), squeeze))
+    simple = rooted & ~path.rlike(r"/\.{1,2}(?:/|$)")
+    return F.when(simple, path).otherwise(let(segments, _remove_dots))
 
 
 def resolve_against(base: Column, href: Column) -> Column:
