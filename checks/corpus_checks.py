@@ -45,11 +45,18 @@ def content_hash_dedup(spark, d):
 
 
 CLEAN = "regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')"
+# Shingles by four non-overlapping passes; every distinct one is hashed once.
+PASSES = "list_concat(list_concat(regexp_extract_all(t, '(?s).{4}'), regexp_extract_all(t[2:], '(?s).{4}')), list_concat(regexp_extract_all(t[3:], '(?s).{4}'), regexp_extract_all(t[4:], '(?s).{4}')))"
+
+
+def vote(word: str, i: int) -> str:
+    return f"sum(CASE WHEN ({word} >> {i}) & 1 = 1 THEN k ELSE -k END) AS {word[0]}{i}"
+
+
 SIM = f"""c AS (SELECT doc_id, {CLEAN} AS t FROM documents),
- sh AS (SELECT doc_id, t[i:i + 3] AS s FROM c, LATERAL (SELECT unnest(range(1, greatest(length(t) - 3, 1) + 1)) AS i)),
- hx AS (SELECT doc_id, ('0x' || md5(s)[17:24])::BIGINT AS hi, ('0x' || md5(s)[25:32])::BIGINT AS lo FROM sh),
- v AS (SELECT doc_id, {', '.join(f'sum(CASE WHEN (lo >> {i}) & 1 = 1 THEN 1 ELSE -1 END) AS l{i}' for i in range(32))},
-  {', '.join(f'sum(CASE WHEN (hi >> {i}) & 1 = 1 THEN 1 ELSE -1 END) AS h{i}' for i in range(32))} FROM hx GROUP BY doc_id),
+ sh AS (SELECT doc_id, s, count(*) AS k FROM (SELECT doc_id, unnest(CASE WHEN length(t) < 4 THEN [t] ELSE {PASSES} END) AS s FROM c) GROUP BY ALL),
+ hx AS (SELECT s, ('0x' || md5(s)[17:24])::BIGINT AS hi, ('0x' || md5(s)[25:32])::BIGINT AS lo FROM (SELECT DISTINCT s FROM sh)),
+ v AS (SELECT doc_id, {', '.join(vote(w, i) for w in ('lo', 'hi') for i in range(32))} FROM sh JOIN hx USING (s) GROUP BY doc_id),
  sim AS (SELECT doc_id, ({' + '.join(f'CASE WHEN l{i} > 0 THEN {1 << i}::BIGINT ELSE 0 END' for i in range(32))}) AS lo,
   ({' + '.join(f'CASE WHEN h{i} > 0 THEN {1 << i}::BIGINT ELSE 0 END' for i in range(32))}) AS hi FROM v)"""
 
