@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import ensure_checkpoint_dir
@@ -41,3 +41,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums over a global order, without a single-task window.
+
+    Rows are cut into ranges of ``order`` (which has to be unique); only one
+    row per range is accumulated on its own.
+    """
+    part, *values = fresh(df, "_part", *[f"_v{i}" for i in range(len(sums))])
+    before = [f"{v}_before" for v in values]
+    ranged = stored(
+        df.withColumns(dict(zip(values, sums.values())))
+        .repartitionByRange(*[F.col(c) for c in order])
+        .withColumn(part, F.spark_partition_id()),
+        "ranges",
+    )
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(part)
+        .agg(*[F.sum(v).alias(v) for v in values])
+        .select(part, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(b) for v, b in zip(values, before)])
+    )
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # One row per partition of the job: the broadcast side is bounded by that.
+    return (
+        ranged.join(F.broadcast(offsets), part)
+        .withColumns({out: F.sum(v).over(within) + F.col(b) for out, v, b in zip(sums, values, before)})
+        .drop(part, *values, *before)
+    )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import secrets
+from pagewright.llm import mixing, secrets
+from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
+         (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS w
+  FROM d GROUP BY source),
+t AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total,
+         sum(w) OVER () - sum(w) OVER o + w AS w_rest, sum(cap) OVER o - cap AS caps_before
+  FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, cap * w_rest <= w * (total - caps_before) AS is_full FROM t),
+g AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN cap ELSE w * (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0))
+              / (sum(w) FILTER (NOT is_full) OVER ()) END AS target
+  FROM f),
+p AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           - d.size AS before,
+         CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS passes
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (size * (passes + CASE WHEN 2 * before + size < 2 * (target - passes * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
+
+
+@query("op6_curriculum_mix", MIX_SQL)
+def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The words are counted once; what follows works on the small table.
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
+    return mixing.mix_report(mixing.plan_mix(sized, F.col("words"))).drop("position")
