@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import mixing, secrets
+from pagewright.llm import mixing, secrets, simhash
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The words are counted once; what follows works on the small table.
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
     return mixing.mix_report(mixing.plan_mix(sized, F.col("words"))).drop("position")
+
+
+@query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
