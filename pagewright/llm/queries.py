@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import mixing, secrets, simhash
+from pagewright.llm import bpe, mixing, secrets, simhash
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,13 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def multilingual_bytes() -> bpe.Vocabulary:
+    return bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = multilingual_bytes()
+    return bpe.token_digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
