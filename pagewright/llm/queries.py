@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, mixing, secrets, simhash
+from pagewright.llm import bpe, mixing, secrets, simhash, warc
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,27 @@ def multilingual_bytes() -> bpe.Vocabulary:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = multilingual_bytes()
     return bpe.token_digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
+DIGEST_SQL = "sha1(coalesce(html, ''))"
+BASE32_SQL = " || ".join(
+    f"lpad(translate(to_base(('0x' || substr(hex, {1 + 10 * i}, 10))::BIGINT, 32), "
+    "'0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), 8, 'A')"
+    for i in range(4)
+)
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, {DIGEST_SQL} AS hex FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM p)
+SELECT page_id, payload_bytes, {BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM r
+"""
+
+
+@query("op5_warc_round_trip", WARC_SQL)
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.make_folder(spark, folder)
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
