@@ -136,7 +136,7 @@ def scaled(vectors: DataFrame) -> DataFrame:
 
 
 def _search(k: int, use_floor: bool):
-    def run(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if not len(queries) or not len(vectors):
             return none
