@@ -21,6 +21,8 @@ CHUNK = 32_768
 OVERLAP = 2_048
 # A match that ends this close to a cut might have gone on behind it.
 UNSURE = 3
+# Rows whose ids a worker holds at a time.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -73,12 +75,20 @@ def codec_of(vocabulary: Broadcast) -> Codec:
 IDS = "ids binary"
 
 
-def _encode_whole(vocabulary: Broadcast, keep: list[str]):
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
+def _encode_whole(vocabulary: Broadcast, keep: list[str], digests: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(vocabulary)
-        for batch in batches:
-            ids = [np.array(codec.encode(t or ""), dtype="<u4").tobytes() for t in batch["text"]]
-            yield batch[keep].assign(ids=ids)
+        for batch in _slices(batches):
+            if digests:
+                yield batch[keep].assign(**digests_of(codec, (codec.encode(t or "") for t in batch["text"])))
+            else:
+                yield batch[keep].assign(ids=[np.array(codec.encode(t or ""), dtype="<u4").tobytes() for t in batch["text"]])
 
     return run
 
@@ -168,49 +178,54 @@ def encode_long(long_texts: DataFrame, vocabulary: Broadcast) -> DataFrame:
     return done.groupBy("key").agg(whole.alias("ids"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None) -> DataFrame:
+def digests_of(codec: Codec, rows) -> dict[str, list]:
+    """Count, digest of the ids and digest of the decoded bytes of each row."""
+    out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+    for ids in rows:
+        out["n_tokens"].append(len(ids))
+        out["ids_sha256"].append(hashlib.sha256(codec.shown(ids).encode()).hexdigest())
+        out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+    return out
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest(vocabulary: Broadcast, keep: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = codec_of(vocabulary)
+        for batch in _slices(batches):
+            yield batch[keep].assign(**digests_of(codec, (np.frombuffer(raw, dtype="<u4").tolist() for raw in batch["ids"])))
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """Rows (``keep`` columns, ids) of all documents; ids are 32-bit integers.
 
+    With ``digests`` the ids are decoded again in the same task, and instead of
+    them come n_tokens, the digest of the ids and that of the decoded bytes.
+
     Texts up to CHUNK characters are encoded where they lie, without a shuffle.
     Longer ones are encoded once per different text, in pieces that any task
     can take, and joined back by the text's hash. A null text has no ids, like
-    an empty one; repeated rows stay. A kept column named ids is not possible.
+    an empty one; repeated rows stay. A kept column named like one of the
+    results is not possible.
     """
     keep = ["doc_id"] if keep is None else keep
     spread = shared(docs.sparkSession, vocabulary)
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    fields = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
     is_long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    short = rows.where(~is_long).mapInPandas(_encode_whole(spread, keep), f"{fields}, {IDS}")
+    short = rows.where(~is_long).mapInPandas(
+        _encode_whole(spread, keep, digests), f"{fields}{DIGESTS if digests else IDS}"
+    )
     hashed = rows.where(is_long).withColumn("_key", F.sha2("text", 256))
     texts = hashed.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
     ids = encode_long(texts, spread).withColumnRenamed("key", "_key")
-    return short.unionByName(hashed.select(*keep, "_key").join(ids, "_key").select(*keep, "ids"))
-
-
-def _digest(vocabulary: Broadcast, keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(vocabulary)
-        for batch in batches:
-            counts, shown, decoded = [], [], []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                counts.append(len(ids))
-                shown.append(hashlib.sha256(codec.shown(ids).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield batch[keep].assign(n_tokens=counts, ids_sha256=shown, decoded_sha256=decoded)
-
-    return run
-
-
-def token_digest(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Replace ids by n_tokens, the digest of the ids and that of their bytes."""
-    keep = [c for c in encoded.columns if c != "ids"]
-    fields = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*keep).dtypes)
-    spread = shared(encoded.sparkSession, vocabulary)
-    return encoded.mapInPandas(
-        _digest(spread, keep), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    if digests:
+        ids = ids.mapInPandas(_digest(spread, ["_key"]), f"_key string, {DIGESTS}")
+    return short.unionByName(hashed.select(*keep, "_key").join(ids, "_key").drop("_key"))
 
 
 def _decode(vocabulary: Broadcast, keep: list[str]):

@@ -84,8 +84,7 @@ def multilingual_bytes() -> bpe.Vocabulary:
 
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = multilingual_bytes()
-    return bpe.token_digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return bpe.encode(table(spark, sf_dir, "documents"), multilingual_bytes(), digests=True)
 
 
 DIGEST_SQL = "sha1(coalesce(html, ''))"

@@ -57,7 +57,7 @@ def test_hard_texts(spark, plain, vocabulary):
     rows = [(i, t, b"k") for i, t in enumerate(texts)] + [(7, texts[7], b"k"), (None, texts[8], b"k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key binary")
     encoded = bpe.encode(docs, vocabulary)
-    got = bpe.token_digest(encoded, vocabulary).collect()
+    got = bpe.encode(docs, vocabulary, digests=True).collect()
     assert len(got) == len(rows)
     for r in got:
         i = 8 if r.doc_id is None else r.doc_id
@@ -79,4 +79,5 @@ def test_long_texts_are_cut(spark, vocabulary):
 
 def test_empty_table(spark, vocabulary):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.token_digest(bpe.encode(docs, vocabulary), vocabulary).count() == 0
+    assert bpe.encode(docs, vocabulary, digests=True).count() == 0
+    assert bpe.encode(docs, vocabulary).count() == 0
