@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, ego, mixing, secrets, simhash, topk, toxicity, warc
+from pagewright.llm import bpe, ego, mixing, pii, secrets, simhash, topk, toxicity, warc
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,13 @@ FROM g LEFT JOIN n USING (vec_id)
 @query("op7_ego_near_dedup", EGO_SQL)
 def op7_ego_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+# For a real corpus the key comes from the caller and is kept secret.
+PII_KEY = "demonstration key"
+
+
+@query("op8_feistel_pseudonyms")
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "pii.*", "text")
