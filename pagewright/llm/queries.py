@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, ego, mixing, pii, secrets, simhash, topk, toxicity, warc
+from pagewright.llm import bpe, ego, lines, mixing, pii, secrets, simhash, topk, toxicity, warc
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,23 @@ PII_KEY = "demonstration key"
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "pii.*", "text")
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, lower(lines[i]) AS line FROM (SELECT doc_id, lines, unnest(range(1, n_lines + 1)) AS i FROM d)),
+w AS (SELECT doc_id, line_no, list_distinct(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: hash(t))) AS words FROM l),
+s AS (SELECT list_sort(words) AS words, min((doc_id, line_no)) AS first FROM w WHERE len(words) >= 5 GROUP BY 1),
+x AS (SELECT a.words FROM s a JOIN s b ON a.first > b.first AND 5 * len(a.words) >= 4 * len(b.words) AND 5 * len(b.words) >= 4 * len(a.words)
+      WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (len(a.words) + len(b.words)) GROUP BY a.words),
+r AS (SELECT w.doc_id, list_sort(list(w.line_no)) AS removed
+      FROM w JOIN s ON list_sort(w.words) = s.words LEFT JOIN x ON x.words = s.words
+      WHERE x.words IS NOT NULL OR (w.doc_id, w.line_no) <> s.first GROUP BY w.doc_id)
+SELECT doc_id, n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
