@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as S
 from checks.registry import check, enriched, joined, pages, scratch, table
-from checks.page_checks import TITLE, WORDS
+from checks.page_checks import DESCRIPTION, TITLE, VISIBLE, WORDS
 from checks.url_checks import LINKS, OSINT, PRIORITY, follow_sql
 from pagewright.functions import fingerprints as FP
 from pagewright.functions import scoring as SC
@@ -235,11 +235,11 @@ RANK_STEP = """r{k} AS (SELECT v.url, v.deg, 0.15::DOUBLE / c.n + 0.85::DOUBLE *
     "pagerank",
     f"""{E}, {GRAPH}, v AS (SELECT n.url, coalesce(d.deg, 0) AS deg FROM n LEFT JOIN (SELECT source, count(*) AS deg FROM e GROUP BY source) d ON d.source = n.url),
  r0 AS (SELECT url, deg, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM v), """
-    + ", ".join(RANK_STEP.format(k=k, j=k - 1) for k in range(1, 6))
-    + " SELECT url, round(rank, 9) AS rank FROM r5",
+    + ", ".join(RANK_STEP.format(k=k, j=k - 1) for k in range(1, 11))
+    + " SELECT url, round(rank, 9) AS rank FROM r10",
 )
 def pagerank(spark, d):
-    return G.pagerank(*graph(spark, d), iterations=5).withColumn("rank", F.round("rank", 9))
+    return G.pagerank(*graph(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
 # The graph of page hosts and their parent domains falls into several components.
@@ -467,7 +467,11 @@ def stored(spark, d):
     )
 
 
-@check("crawl_store", f"{E} SELECT url, {TITLE} AS title, {WORDS} AS words, '2024-01-01T00:00:00' AS at FROM p")
+@check(
+    "crawl_store",
+    f"{E} SELECT url, {TITLE} AS title, {WORDS} AS words, md5({VISIBLE}) AS text, {DESCRIPTION} AS description, "
+    "'{}' AS jsonld, '2024-01-01T00:00:00' AS at FROM p",
+)
 def crawl_store(spark, d):
     path = scratch(spark, "store")
     writers.write_crawl_store(stored(spark, d), path)
@@ -475,6 +479,9 @@ def crawl_store(spark, d):
         "url",
         F.col("content.text.title").alias("title"),
         F.col("content.text.word_count").alias("words"),
+        F.md5(F.col("content.text.text").cast("binary")).alias("text"),
+        F.col("content.text.description").alias("description"),
+        F.array_join("metadata.jsonld", "|").alias("jsonld"),
         F.col("timestamp").alias("at"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as S
 from checks.registry import check, enriched, joined, map_text, pages, table
-from checks.url_checks import TRAP
+from checks.url_checks import LINKS, TRAP
 from pagewright.functions import entities as EN
 from pagewright.functions import html as H
 from pagewright.functions import language as LG
@@ -14,6 +14,7 @@ from pagewright.functions import pages as P
 from pagewright.functions import scoring as SC
 from pagewright.functions import tech as T
 from pagewright.operators import language as OL
+from pagewright.operators.urls import SiteRule
 from pagewright.plans import osint, process
 from pagewright.session import cut_lineage
 
@@ -621,19 +622,56 @@ def osint_summary(spark, d):
     return osint.osint_summary(osint.osint_report(enriched(spark, d)))
 
 
+REASON_OF_PAGES = REASON.replace("strlen(html) > 0.005 * 1048576", "false").replace("url2", "url")
+GATED = f"g AS (SELECT page_id FROM (SELECT page_id, {REASON_OF_PAGES} AS reason FROM p) WHERE reason IS NULL)"
+ROUTE_OF_PAGES = "CASE WHEN ctype = '' THEN 'text' ELSE " + ROUTE.replace("url2", "url") + " END"
+TYPED_OF_PAGES = TYPED.replace("url2", "url")
+
+
 @check(
     "process_pages",
-    f"""{E}, {TYPED}, g AS (SELECT page_id, {REASON.replace('strlen(html) > 0.005 * 1048576', 'false').replace('url2', 'url')} AS reason FROM p)
- SELECT p.page_id, {TITLE} AS title, {WORDS} AS words, md5({MAIN}) AS main, {arr(LD)} AS jsonld, {OG} AS opengraph
- FROM p JOIN g USING (page_id) WHERE g.reason IS NULL""",
+    f"""{E}, {TYPED_OF_PAGES}, {GATED}, r AS (SELECT page_id, {ROUTE_OF_PAGES} AS route FROM p),
+ k AS (SELECT source AS url, md5(string_agg(target, '|' ORDER BY target)) AS links FROM ({LINKS}) GROUP BY source),
+ b AS (SELECT page_id, {BEST} AS page_type, round(greatest({', '.join(SC.PAGE_TYPES)}) / total, 6) AS type_score FROM z)
+ SELECT p.page_id, r.route, CASE WHEN r.route = 'text' THEN {TITLE} END AS title, CASE WHEN r.route = 'text' THEN {WORDS} END AS words,
+ CASE WHEN r.route = 'text' THEN md5({VISIBLE}) END AS text, CASE WHEN r.route = 'text' THEN md5({MAIN}) END AS main,
+ CASE WHEN r.route = 'text' THEN {DESCRIPTION} END AS description, {arr(LD)} AS jsonld, {OG} AS opengraph, {TW} AS twitter,
+ b.page_type, b.type_score, coalesce(k.links, md5('')) AS links
+ FROM p JOIN g USING (page_id) JOIN r USING (page_id) JOIN b USING (page_id) LEFT JOIN k ON k.url = p.url""",
 )
 def process_pages(spark, d):
-    out = process.process_pages(enriched(spark, d).drop("headers"))
+    out = process.process_pages(enriched(spark, d))
+    info, parts = F.col("text_info"), F.col("structured")
     return out.select(
         "page_id",
-        F.col("text_info.title").alias("title"),
-        F.col("text_info.word_count").alias("words"),
-        F.md5(F.col("text_info.clean_text").cast("binary")).alias("main"),
-        joined(F.col("structured.jsonld")).alias("jsonld"),
-        map_text(F.col("structured.opengraph")).alias("opengraph"),
+        "route",
+        info["title"].alias("title"),
+        info["word_count"].alias("words"),
+        F.md5(info["text"].cast("binary")).alias("text"),
+        F.md5(info["clean_text"].cast("binary")).alias("main"),
+        info["description"].alias("description"),
+        joined(parts["jsonld"]).alias("jsonld"),
+        map_text(parts["opengraph"]).alias("opengraph"),
+        map_text(parts["twitter"]).alias("twitter"),
+        "page_type",
+        F.round(F.array_max(F.map_values("page_type_scores")), 6).alias("type_score"),
+        F.md5(F.array_join(F.sort_array("links"), "|").cast("binary")).alias("links"),
     )
+
+
+DOMAIN = "regexp_extract(url, '^[^:]*://[^/?#]*')"
+
+
+@check(
+    "process_pages_limits",
+    f"""{E}, {GATED}, q AS (SELECT url, min(page_id % 4) AS depth, max(page_id % 5) AS priority FROM p JOIN g USING (page_id) WHERE page_id % 4 <= 2 GROUP BY url),
+ c AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {DOMAIN} ORDER BY depth, priority DESC, url) <= 2),
+ m AS (SELECT * FROM c QUALIFY row_number() OVER (ORDER BY depth, priority DESC, url) <= 60)
+ SELECT page_id, url, contains(url, 'blog') AS needs_js, CASE WHEN contains(url, 'blog') THEN 'blogs' END AS reason
+ FROM p JOIN g USING (page_id) WHERE page_id % 4 <= 2 AND url IN (SELECT url FROM m)""",
+)
+def process_pages_limits(spark, d):
+    rules = [SiteRule(pattern=".*blog", require_js=True, reason="blogs")]
+    cfg = process.CrawlConfig(max_depth=2, max_pages_per_domain=2, max_urls=60, enable_js=False, site_rules=rules)
+    queued = enriched(spark, d).withColumns({"depth": F.col("page_id") % 4, "priority": F.col("page_id") % 5})
+    return process.process_pages(queued, cfg).select("page_id", "url", "needs_js", F.col("rule.reason").alias("reason"))

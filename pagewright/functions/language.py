@@ -11,13 +11,36 @@ from pagewright.functions.pages import header
 # Code point ranges.
 CJK = "[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u309f\u30a0-\u30ff\uff00-\uffef]"
 RTL = "[\u0590-\u05ff\u0600-\u06ff\u0700-\u074f]"
-# Charsets that the decoder knows, by header spelling.
+# Charsets that the JVM decodes, by header spelling.
 CHARSETS = {
     "utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII",
     "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1",
-    "windows-1252": "ISO-8859-1", "cp1252": "ISO-8859-1",
     "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
 }
+# Single-byte charsets, with their header spellings. Their upper
+# halves are laid over Latin-1.
+SINGLE_BYTE = {
+    "cp1250": ("windows-1250", "cp1250"),
+    "cp1251": ("windows-1251", "cp1251"),
+    "cp1252": ("windows-1252", "cp1252"),
+    "cp1253": ("windows-1253", "cp1253"),
+    "cp1254": ("windows-1254", "cp1254", "iso-8859-9"),
+    "iso8859-2": ("iso-8859-2", "latin2", "latin-2"),
+    "iso8859-5": ("iso-8859-5",),
+    "iso8859-7": ("iso-8859-7",),
+    "iso8859-15": ("iso-8859-15", "latin-9", "latin9"),
+    "koi8-r": ("koi8-r",),
+    "koi8-u": ("koi8-u",),
+}
+
+
+def upper_half(charset: str) -> tuple[str, str]:
+    """Latin-1 characters and what ``charset`` has in their places.
+
+    A byte that the charset leaves open becomes the replacement character.
+    """
+    pairs = [(chr(b), bytes([b]).decode(charset, errors="replace")) for b in range(128, 256)]
+    return "".join(a for a, c in pairs if a != c), "".join(c for a, c in pairs if a != c)
 
 
 def is_cjk(text: Column | str) -> Column:
@@ -47,18 +70,32 @@ def header_charset(headers: Column | str) -> Column:
     return F.regexp_extract(value, r"""charset\s*=\s*["']?([a-z0-9_\-]+)""", 1)
 
 
+def is_decodable(headers: Column | str) -> Column:
+    """Whether no charset is declared or the decoder knows the declared one."""
+    known = [*CHARSETS, *(name for names in SINGLE_BYTE.values() for name in names)]
+    declared = header_charset(headers)
+    return (declared == "") | declared.isin(*known)
+
+
 def decode_content(content: Column | str, headers: Column | str) -> Column:
-    """Bytes to text: declared charset, else valid UTF-8, else Latin-1."""
+    """Bytes to text: declared charset, else valid UTF-8, else Latin-1.
+
+    A declared charset that the decoder does not know is never guessed: such
+    bytes are text only where they are valid UTF-8, else null.
+    """
     data = as_col(content)
     declared = header_charset(headers)
     valid = F.is_valid_utf8(data.cast("string"))
-    result = None
-    for spelling, charset in CHARSETS.items():
-        if charset == "UTF-8":
-            continue
-        test = (declared == spelling) if charset != "US-ASCII" else ((declared == spelling) & ~valid)
-        target = "ISO-8859-1" if charset == "US-ASCII" else charset
-        result = (
-            F.when(test, F.decode(data, target)) if result is None else result.when(test, F.decode(data, target))
-        )
-    return result.when(valid, F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+    latin = F.decode(data, "ISO-8859-1")
+    arms = []
+    for charset in ("ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE"):
+        names = [name for name, target in CHARSETS.items() if target == charset]
+        arms.append((declared.isin(*names), F.decode(data, charset)))
+    arms.append((declared.isin(*[n for n, target in CHARSETS.items() if target == "US-ASCII"]) & ~valid, latin))
+    for charset, names in SINGLE_BYTE.items():
+        arms.append((declared.isin(*names), F.translate(latin, *upper_half(charset))))
+    arms += [(valid, F.decode(data, "UTF-8")), (is_decodable(headers), latin)]
+    result = F.when(*arms[0])
+    for test, text in arms[1:]:
+        result = result.when(test, text)
+    return result

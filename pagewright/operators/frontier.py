@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.base import as_col
 from pagewright.functions.urls import domain_of, should_follow, url_priority
-from pagewright.operators.skew import broadcast_if_small, top_per_group
+from pagewright.operators.skew import broadcast_if_small, running_total, top_per_group
 from pagewright.session import cut_lineage
 
 SEED_PRIORITY = 1.0
@@ -33,12 +33,18 @@ def domain_cap(df: DataFrame, n: int) -> DataFrame:
     return top_per_group(df.withColumn("domain", domain_of("url")), ["domain"], order, n)
 
 
+def _first(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """First ``n`` rows, numbered over ranges: a large n never meets one task."""
+    ranked = running_total(df.withColumn("_urgency", -F.col("priority")), order, F.lit(1), "_number")
+    return ranked.filter(F.col("_number") <= n).drop("_urgency", "_number")
+
+
 def max_urls(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy("depth", F.desc("priority"), "url").limit(n)
+    return _first(df, ["depth", "_urgency", "url"], n)
 
 
 def next_batch(frontier: DataFrame, k: int) -> DataFrame:
-    return frontier.orderBy(F.desc("priority"), "url").limit(k)
+    return _first(frontier, ["_urgency", "url"], k)
 
 
 def enqueue(links: DataFrame, subdomains: bool = True, external: bool = False) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.base import as_col
 from pagewright.operators.links import osint_links
 from pagewright.operators.skew import lookup
 from pagewright.session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
 def site_graph(pages: DataFrame, links: DataFrame, order: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Nodes keyed by URL with the last metadata, and edges with repeats."""
     nodes = pages.groupBy("url").agg(F.max_by("metadata", order).alias("metadata"))
@@ -122,7 +120,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     arcs = cut_lineage(arcs)
     fingerprint = None
-    for _ in range(MAX_ROUNDS):
+    # Every round but the last changes the arcs, and none grows them.
+    while True:
         both = arcs.select("u", "v").union(arcs.select("v", "u"))
         # Large star: neighbours above a node move to its least neighbour.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
@@ -146,8 +145,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if (row[0], row[1]) == fingerprint:
             break
         fingerprint = (row[0], row[1])
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return (
         nodes.select("url")
         .join(arcs.select(F.col("u").alias("url"), F.col("v").alias("component")), "url", "left")
@@ -155,10 +152,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def density(nodes: Column | str, edges: Column | str) -> Column:
+    """Edges over ordered pairs of nodes; zero without two nodes and an edge."""
+    n, m = as_col(nodes), as_col(edges)
+    return F.when((n > 1) & (m > 0), m / (n * (n - 1))).otherwise(0.0)
+
+
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, connectedness, component count."""
     components = connected_components(nodes, edges).agg(F.count_distinct("component").alias("components"))
-    n, m = F.col("nodes"), F.col("edges")
     return (
         nodes.agg(F.count("*").alias("nodes"))
         .join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
@@ -166,7 +168,7 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .select(
             "nodes",
             "edges",
-            F.when((n > 1) & (m > 0), m / (n * (n - 1))).otherwise(0.0).alias("density"),
+            density("nodes", "edges").alias("density"),
             (F.col("components") == 1).alias("is_connected"),
             "components",
         )

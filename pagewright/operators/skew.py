@@ -72,18 +72,6 @@ def lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the least in ``order``; combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.struct(*order, *rest)
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(packed).alias("_row"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*order, *rest]])
-        .select(*df.columns)
-    )
-
-
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = SALTS, rank: str | None = None
 ) -> DataFrame:

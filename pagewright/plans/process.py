@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,21 +17,19 @@ from pagewright.functions.pages import (
     reject_reason,
 )
 from pagewright.functions.scoring import page_type_scores, top_type
+from pagewright.functions.urls import url_priority
+from pagewright.operators.frontier import domain_cap, max_urls
 from pagewright.operators.language import DEFAULT_LANGUAGE, detect_language
 from pagewright.operators.links import link_targets
-from pagewright.operators.urls import SiteRule, rule_struct
+from pagewright.operators.urls import SiteRule, exclude_urls, rule_struct
 from pagewright.sources.readers import as_pages
 
 
 @dataclass
 class CrawlConfig:
-    """Parameters of the page and frontier operators."""
+    """Parameters of the page chain; a limit that is None does not apply."""
 
-    seed_urls: list[str] = field(default_factory=list)
-    strategy: str = "breadth_first"
     max_depth: int | None = None
-    follow_subdomains: bool = True
-    follow_external: bool = False
     max_urls: int | None = None
     max_size_mb: float | None = None
     max_pages_per_domain: int | None = None
@@ -43,8 +41,9 @@ class CrawlConfig:
     exclude_patterns: Sequence[str] = ()
 
     def __post_init__(self) -> None:
-        if self.strategy not in ("breadth_first", "depth_first", "priority"):
-            raise ValueError(f"unknown strategy: {self.strategy}")
+        for name in ("max_depth", "max_urls", "max_pages_per_domain"):
+            if (getattr(self, name) or 0) < 0:
+                raise ValueError(f"{name} must not be negative")
 
 
 def crawlable(pages: DataFrame, cfg: CrawlConfig | None = None) -> DataFrame:
@@ -64,10 +63,12 @@ def crawlable(pages: DataFrame, cfg: CrawlConfig | None = None) -> DataFrame:
 def needs_js(pages: DataFrame, rules: Sequence[SiteRule] = ()) -> DataFrame:
     """Add ``needs_js``: a rule asks for it, or the page looks unrendered."""
     by_rule = F.coalesce(rule_struct("url", rules)["require_js"], F.lit(False))
-    short = F.length(strip(F.col("html"))) < 500
-    return pages.withColumn(
-        "needs_js", by_rule | needs_js_markers("html") | needs_js_heuristic("html") | short
-    )
+    return pages.withColumn("needs_js", by_rule | needs_js_columns())
+
+
+def needs_js_columns() -> Column:
+    """Markers, the heuristic, or hardly any markup."""
+    return needs_js_markers("html") | needs_js_heuristic("html") | (F.length(strip(F.col("html"))) < 500)
 
 
 def text_info(html: Column | str = "html", language: Column | None = None, clean: bool = False) -> Column:
@@ -149,27 +150,61 @@ def custom_selectors(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     return pages.select("url", *columns)
 
 
-def process_pages(pages: DataFrame, cfg: CrawlConfig | None = None) -> DataFrame:
+def within_limits(pages: DataFrame, cfg: CrawlConfig) -> DataFrame:
+    """Pages that depth limit, cap per domain and URL budget let through.
+
+    Shallow pages come first, then those of high priority, then by URL. Without
+    columns ``depth`` and ``priority`` all pages have depth 0 and the priority
+    of their URL. The limits are decided on these columns alone; page bodies
+    are joined to the admitted URLs.
+    """
+    if cfg.max_depth is not None and "depth" in pages.columns:
+        pages = pages.filter(F.col("depth") <= cfg.max_depth)
+    if cfg.max_pages_per_domain is None and cfg.max_urls is None:
+        return pages
+    depth = F.col("depth") if "depth" in pages.columns else F.lit(0)
+    priority = F.col("priority") if "priority" in pages.columns else url_priority("url")
+    queue = pages.groupBy("url").agg(F.min(depth).alias("depth"), F.max(priority).alias("priority"))
+    if cfg.max_pages_per_domain is not None:
+        queue = domain_cap(queue, cfg.max_pages_per_domain)
+    if cfg.max_urls is not None:
+        queue = max_urls(queue, cfg.max_urls)
+    return pages.join(queue.select("url"), "url", "left_semi")
+
+
+def process_pages(
+    pages: DataFrame, cfg: CrawlConfig | None = None, profiles: DataFrame | None = None
+) -> DataFrame:
     """Stored record and in-page links of every page that passes the gate.
 
-    One projection over the scan: no shuffle, no Python, and the markup is
-    dropped as soon as the columns made from it exist.
+    Without limits and profiles it is one projection over the scan: no
+    shuffle, no Python, and the markup is dropped as soon as the columns made
+    from it exist. ``profiles`` are those of ``language_profiles``; pages then
+    get the language that fits their text best.
     """
     cfg = cfg or CrawlConfig()
     gated = crawlable(pages, cfg).filter(F.col("reject_reason").isNull())
-    if cfg.exclude_patterns:
-        gated = gated.filter(~F.col("url").rlike("|".join(f"(?:{p})" for p in cfg.exclude_patterns)))
+    gated = within_limits(exclude_urls(gated, cfg.exclude_patterns), cfg)
     routed = gated.withColumn("route", content_route("headers", "url", F.col("html")))
-    scores = page_type_scores("html", "url")
+    language = None
+    if profiles is not None:
+        shown = routed.select("url", H.visible_text("html").alias("_text")).groupBy("url").agg(F.max("_text").alias("_text"))
+        found = detect_language(shown, profiles, "url", "_text").select("url", F.col("language").alias("_language"))
+        routed, language = routed.join(found, "url", "left"), F.col("_language")
+    rule = rule_struct("url", cfg.site_rules)
+    by_rule = F.coalesce(rule["require_js"], F.lit(False))
+    rendered = by_rule | needs_js_columns() if cfg.enable_js else by_rule
     return routed.select(
         *[c for c in ("page_id",) if c in routed.columns],
         "url",
         "status_code",
         "headers",
         "route",
-        F.when(F.col("route") == "text", text_info(clean=cfg.enable_ml_extraction)).alias("text_info"),
+        rule.alias("rule"),
+        rendered.alias("needs_js"),
+        F.when(F.col("route") == "text", text_info(language=language, clean=cfg.enable_ml_extraction)).alias("text_info"),
         structured().alias("structured"),
-        scores.alias("page_type_scores"),
+        page_type_scores("html", "url").alias("page_type_scores"),
         link_targets().alias("links"),
         "fetched_at",
     ).withColumn("page_type", top_type("page_type_scores"))

@@ -23,10 +23,11 @@ def _crawl(step: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFram
     spark = links.sparkSession
     seeds = spark.createDataFrame([(u,) for u in step.get("urls", [])], "url string")
     reached = crawl_waves(scoped, seeds, cfg.get("max_depth"))
-    pages = tables[step.get("pages", "pages")].select("url", "html").dropDuplicates(["url"])
+    # Only the length of a page is shuffled, not the page.
+    pages = tables[step.get("pages", "pages")].groupBy("url").agg(F.max(F.octet_length("html")).alias("size"))
     outcomes = reached.join(pages, "url", "left").select(
-        F.when(F.col("html").isNotNull(), "success").otherwise("skipped").alias("status"),
-        F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"),
+        F.when(F.col("size").isNotNull(), "success").otherwise("skipped").alias("status"),
+        F.coalesce("size", F.lit(0)).alias("bytes"),
     )
     return crawl_stats(outcomes)
 

@@ -47,11 +47,17 @@ def as_pages(raw: DataFrame) -> DataFrame:
     return out
 
 
-def read_crawl_store(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a hash-sharded store, one JSON object per file or line."""
+def read_crawl_store(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """Records of a hash-sharded store.
+
+    ``layout="lines"`` has one JSON object per line, as ``write_crawl_store``
+    leaves it; ``layout="files"`` has one, on any number of lines, per file.
+    """
+    if layout not in ("lines", "files"):
+        raise ValueError(f"unknown layout: {layout}")
     return (
         spark.read.schema(schemas.STORED_RECORD)
-        .option("multiLine", True)
+        .option("multiLine", layout == "files")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(path)

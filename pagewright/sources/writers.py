@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.graph import graph_statistics
+from pagewright.operators.graph import density
 
 
 def write_crawl_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,7 +49,8 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     attributes = [c for c in nodes.columns if c != "url"]
     node_lines = nodes.select(F.to_json(F.struct(F.col("url").alias("id"), *attributes)).alias("value"))
     edge_lines = edges.select(F.to_json(F.struct("source", "target")).alias("value"))
-    return node_lines, edge_lines, graph_statistics(nodes, edges).select("nodes", "edges", "density")
+    counted = nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    return node_lines, edge_lines, counted.select("nodes", "edges", density("nodes", "edges").alias("density"))
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -189,3 +189,27 @@ def test_decoding(one):
     assert one(lambda b: LG.decode_content(b, none), bytearray("é".encode("latin-1"))) == "é"
     assert one(LG.is_rtl, "שלום") and one(LG.is_cjk, "漢") and not one(LG.is_cjk, "latin é")
     assert one(LG.segment_cjk, "漢a😀") == ["漢", "a", "😀"]
+
+
+@pytest.mark.parametrize(
+    ("charset", "name", "text"),
+    [
+        ("cp1252", "windows-1252", "“quotes” and €"),
+        ("cp1251", "windows-1251", "привет"),
+        ("cp1250", "cp1250", "žluťoučký kůň"),
+        ("iso8859-2", "ISO-8859-2", "ľščťž"),
+        ("iso8859-15", "iso-8859-15", "prix en €"),
+        ("koi8-r", "KOI8-R", "привет"),
+        ("utf-16-le", "utf-16le", "漢"),
+    ],
+)
+def test_declared_charsets(one, charset, name, text):
+    headers = F.create_map(F.lit("Content-Type"), F.lit(f"text/html; charset={name}"))
+    assert one(lambda b: LG.decode_content(b, headers), bytearray(text.encode(charset))) == text
+
+
+def test_unknown_charset_is_not_guessed(one):
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=shift_jis"))
+    assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode("shift_jis"))) is None
+    assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode())) == "漢字"
+    assert one(lambda b: LG.is_decodable(headers), bytearray(b"")) is False

@@ -187,6 +187,32 @@ def test_store_layout(spark, tmp_path):
     assert list((tmp_path / "s" / f"s1={h[:2]}" / f"s2={h[2:4]}").glob("*.json"))
 
 
+def test_store_keeps_every_record_of_a_shard(spark, tmp_path):
+    """Several records in each of some folders."""
+    import hashlib
+    from collections import defaultdict
+
+    shards = defaultdict(list)
+    for i in range(150_000):
+        shards[hashlib.sha256(f"http://a/{i}".encode()).hexdigest()[:4]].append(i)
+    wanted = [i for ids in sorted(shards.values(), key=len)[-4:] for i in ids]
+    assert len(wanted) >= 20
+    info = "named_struct('title', concat('t', id), 'text', concat('line\\n', id))"
+    rows = spark.createDataFrame([(i,) for i in wanted], "id long").selectExpr(
+        "concat('http://a/', id) AS url", f"named_struct('text', {info}) AS content"
+    )
+    writers.write_crawl_store(rows, str(tmp_path / "many"))
+    read = readers.read_crawl_store(spark, str(tmp_path / "many")).collect()
+    assert sorted(r.url for r in read) == sorted(f"http://a/{i}" for i in wanted)
+    assert all(r.content.text.text == f"line\n{r.url[9:]}" for r in read)
+    one = tmp_path / "files"
+    one.mkdir()
+    (one / "a.json").write_text('{\n "url": "http://a/",\n "timestamp": "x"\n}')
+    assert readers.read_crawl_store(spark, str(one), layout="files").first().url == "http://a/"
+    with pytest.raises(ValueError, match="layout"):
+        readers.read_crawl_store(spark, str(one), layout="other")
+
+
 def test_plugins(spark):
     class Failing(plugins.Plugin):
         schema = "nonsense ("
@@ -262,6 +288,6 @@ def test_checkpoint_dir_is_kept(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
 
 
-def test_config_rejects_unknown_strategy():
-    with pytest.raises(ValueError, match="unknown strategy"):
-        CrawlConfig(strategy="sideways")
+def test_config_rejects_negative_limits():
+    with pytest.raises(ValueError, match="max_urls"):
+        CrawlConfig(max_urls=-1)
