@@ -156,22 +156,50 @@ def jaccard_verify(spark, d):
     return D.jaccard_verify(D.minhash_lsh_pairs(sig, "doc_id"), sig, "doc_id")
 
 
-@check("near_duplicates")
+# Kept rows are carried along the documents in order, one at a time.
+BAND_TEXTS = ", ".join(
+    f"'{b}:' || array_to_string(m[{b * D.BAND_ROWS + 1}:{(b + 1) * D.BAND_ROWS}], ',')" for b in range(D.BANDS)
+)
+KEPT = "STRUCT(d BIGINT, hi BIGINT, lo BIGINT, b VARCHAR[])"
+
+
+def first_wins(distance: int, bands: str = "[]::VARCHAR[]") -> str:
+    far = "bit_count(xor(k.hi, o.hi)) + bit_count(xor(k.lo, o.lo))"
+    return f"""o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, hi, lo, {bands} AS b FROM sim LEFT JOIN mm USING (doc_id)),
+ r AS (SELECT 0::BIGINT AS i, []::{KEPT}[] AS kept UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(r.kept, lambda k: {far} <= {distance} OR list_has_any(k.b, o.b))) = 0
+   THEN list_append(r.kept, {{'d': o.doc_id, 'hi': o.hi, 'lo': o.lo, 'b': o.b}}) ELSE r.kept END FROM r JOIN o ON o.i = r.i + 1),
+ fw AS (SELECT k.d, k.hi, k.lo FROM (SELECT unnest(kept) AS k FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)))"""
+
+
+@check(
+    "near_duplicates",
+    f"""WITH RECURSIVE {SIM}, {MINHASH}, mm AS (SELECT doc_id, {ALL_M} AS m FROM mh),
+ {first_wins(D.max_distance(D.DUPLICATE_THRESHOLD), f"CASE WHEN m IS NULL THEN []::VARCHAR[] ELSE [{BAND_TEXTS}] END")}
+ SELECT d AS doc_id FROM fw""",
+)
 def near_duplicates(spark, d):
     return D.near_duplicates(D.signatures(docs(spark, d), "doc_id"), "doc_id")
 
 
-@check("leader_clusters")
+CLUSTERS = f"""WITH RECURSIVE {SIM}, mm AS (SELECT doc_id FROM sim), {first_wins(D.max_distance(D.CLUSTER_THRESHOLD))},
+ lc AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS cluster FROM fw),
+ cl AS (SELECT doc_id, (CASE WHEN s.hi >= 2147483648 THEN s.hi - 4294967296 ELSE s.hi END) * 4294967296 + s.lo AS simhash, lc.d AS leader, cluster
+  FROM sim s JOIN lc ON lc.d <= s.doc_id AND bit_count(xor(s.hi, lc.hi)) + bit_count(xor(s.lo, lc.lo)) <= {D.max_distance(D.CLUSTER_THRESHOLD)}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bit_count(xor(s.hi, lc.hi)) + bit_count(xor(s.lo, lc.lo)), lc.d) = 1)"""
+
+
+@check("leader_clusters", f"{CLUSTERS} SELECT doc_id, simhash, leader, cluster FROM cl")
 def leader_clusters(spark, d):
     return D.leader_clusters(D.simhash(docs(spark, d), "doc_id"), "doc_id")
 
 
-@check("cluster_members")
+@check("cluster_members", f"{CLUSTERS} SELECT cluster, doc_id FROM cl")
 def cluster_members(spark, d):
     return D.cluster_members(D.leader_clusters(D.simhash(docs(spark, d), "doc_id"), "doc_id"), "doc_id")
 
 
-@check("cluster_sizes")
+@check("cluster_sizes", f"{CLUSTERS} SELECT cluster, count(*) AS size FROM cl GROUP BY cluster")
 def cluster_sizes(spark, d):
     return D.cluster_sizes(D.leader_clusters(D.simhash(docs(spark, d), "doc_id"), "doc_id"))
 
