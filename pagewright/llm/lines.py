@@ -15,11 +15,13 @@ MIN_WORDS = 5
 # Words fall into this many slots, whose counts order them by rarity. The order
 # decides how fast the join is, never what it finds.
 SLOT_BITS = 18
-# Rarest shared words by which lines meet the first line of their kind.
-HUB_WORDS = 2
+# Rarest words by which a line meets the first line that has them.
+HUB_WORDS = 6
 
-WHITE = r"[\x20\x09-\x0D]+"
-KEYS = ["key", "sign", "n"]
+WHITE, OTHER_WHITE = r"[\x20\x09-\x0D]+", r"[\x09-\x0D]"
+# What stands for a word set: a hash of it, the parity of its words over 128
+# slots, and its size.
+KEYS = ["key", "even", "odd", "n"]
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -32,15 +34,25 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((SIMILAR * n + SIMILAR_OF - 1) / SIMILAR_OF) + 1).cast("int")
 
 
-def may_be_alike(a_n: Column, b_n: Column, a_sign: Column, b_sign: Column) -> Column:
-    """Words in one set only flip a bit of the signs' difference at most each."""
-    return F.bit_count(a_sign.bitwiseXOR(b_sign)) <= a_n + b_n - 2 * least_overlap(a_n, b_n)
+def may_be_alike(x_n: Column, y_n: Column, x: str, y: str) -> Column:
+    """A word of one set only flips at most one bit of the parities' difference.
+
+    ``x`` and ``y`` are column prefixes of the two sets.
+    """
+    flipped = sum(F.bit_count(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))) for half in ("even", "odd"))
+    return flipped <= x_n + y_n - 2 * least_overlap(x_n, y_n)
+
+
+def words_of(text: Column) -> Column:
+    """Lower-cased words; plain blanks are cut without a pattern."""
+    lowered = F.lower(text)
+    cut = F.when(lowered.rlike(OTHER_WHITE), F.split(lowered, WHITE)).otherwise(F.split(lowered, " "))
+    return F.array_remove(cut, "")
 
 
 def word_hashes(line: Column) -> Column:
     """64-bit hashes of the different words of a line, lower-cased."""
-    words = F.array_remove(F.split(F.lower(line), WHITE), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
 
 def slot_table(slots: DataFrame, value: Column) -> bytes:
@@ -88,12 +100,10 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_marks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, line_no, key, sign, n, prefix) of lines that take part.
+    """Rows (doc_id, mark, line_no, KEYS, prefix) of lines that take part.
 
-    Words are ordered by rarity class and then hash. ``key``, ``sign`` and
-    ``n`` stand for the word set: a hash of it, the parity of its words by
-    hash, and its size. ``prefix`` has its rarest words as 32-bit hashes, null
-    for words that occur nowhere else.
+    Words are ordered by rarity class and then hash. ``prefix`` has the rarest
+    words as 32-bit hashes, null for words that occur nowhere else.
     """
     rarity = rarity_table(docs)
     low = (1 << 56) - 1
@@ -104,11 +114,19 @@ def line_marks(docs: DataFrame) -> DataFrame:
     def short(word: Column) -> Column:
         return F.when(F.shiftright(word, 56) > 1, F.shiftright(F.shiftleft(word, 32), 32).cast("int"))
 
+    def parity(words: Column, half: int) -> Column:
+        def flip(bits: Column, word: Column) -> Column:
+            mine = F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(mine, bits.bitwiseXOR(bit)).otherwise(bits)
+
+        return F.aggregate(words, F.lit(0).cast("long"), flip)
+
     def describe(words: Column) -> Column:
-        flip = lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
         return F.struct(
             F.xxhash64(words).alias("key"),
-            F.aggregate(words, F.lit(0).cast("long"), flip).alias("sign"),
+            parity(words, 0).alias("even"),
+            parity(words, 1).alias("odd"),
             F.size(words).cast("long").alias("n"),
             F.transform(F.slice(words, 1, prefix_length(F.size(words))), short).alias("prefix"),
         )
@@ -123,7 +141,7 @@ def line_marks(docs: DataFrame) -> DataFrame:
 
 
 def word_sets(marks: DataFrame) -> DataFrame:
-    """One row per word set: key, sign, n, prefix, first, copies.
+    """One row per word set: KEYS, prefix, first, copies.
 
     ``first`` is the place of its first line: by doc_id, null last, then mark
     and line number.
@@ -132,58 +150,88 @@ def word_sets(marks: DataFrame) -> DataFrame:
     return marks.groupBy(*KEYS, "prefix").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
 
 
+def narrow_rows(sets: DataFrame, words: Column, is_open: Column) -> DataFrame:
+    """Rows (word, key, even, odd, order, shape), one per word of ``words``.
+
+    ``order`` is the document of the set's first line, null last; ``shape``
+    holds size, position of the word, and whether the set is open.
+    """
+    last = F.lit((1 << 63) - 1)
+    shape = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    return (
+        sets.select(*KEYS, F.coalesce("first.doc_id", last).alias("order"), is_open.alias("open"), F.posexplode(words).alias("at", "word"))
+        .where("word IS NOT NULL")
+        .select("word", "key", "even", "odd", "order", shape.alias("shape"))
+    )
+
+
+def size_in(shape: Column) -> Column:
+    return F.shiftright(shape, 32)
+
+
+def place_in(shape: Column) -> Column:
+    return F.shiftright(shape, 1).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def open_in(shape: Column) -> Column:
+    return shape.bitwiseAND(F.lit(1)) == 1
+
+
+def alike_in_size(x_n: Column, y_n: Column) -> Column:
+    return SIMILAR_OF * F.least(x_n, y_n) >= SIMILAR * F.greatest(x_n, y_n)
+
+
 def hub_pairs(sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of each set with the first of its word and size.
+    """Candidate pairs (a, b) of each set with the first set of its rare words.
 
     In a dense group of near copies nearly every member is near the first one;
     settling those here keeps the join below from listing the group's pairs.
+    Rows are dealt by word once; first sets and join use that dealing.
     """
     rare = F.slice(F.array_compact("prefix"), 1, HUB_WORDS)
-    rows = sets.select(*KEYS, "first", F.explode(rare).alias("word"))
-    hubs = (
-        rows.groupBy("word", "n")
-        .agg(F.min(F.struct("first", "key", "sign")).alias("hub"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("word", "n", F.col("hub.key").alias("hub"), F.col("hub.sign").alias("hub_sign"))
-    )
+    rows = narrow_rows(sets, rare, F.lit(True)).repartition("word")
+    first = F.min(F.struct("order", "key", "even", "odd", "shape"))
+    hubs = rows.groupBy("word").agg(first.alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("word", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "even", "odd", "shape")])
+    n, hub_n = size_in(F.col("shape")), size_in(F.col("hub_shape"))
     return (
-        rows.drop("first")
-        .join(hubs, ["word", "n"])
-        .where((F.col("key") != F.col("hub")) & may_be_alike(F.col("n"), F.col("n"), F.col("sign"), F.col("hub_sign")))
-        .select(F.col("hub").alias("a"), F.col("key").alias("b"))
+        rows.join(hubs, "word")
+        .where((F.col("key") != F.col("hub_key")) & alike_in_size(n, hub_n) & may_be_alike(n, hub_n, "", "hub_"))
+        .select(F.col("hub_key").alias("a"), F.col("key").alias("b"))
         .distinct()
     )
 
 
 def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of which at least one set is not settled.
+    """Candidate pairs (a, b) of which the later set is not settled.
 
-    Sets meet on a word of both prefixes. Length, position and sign filters are
-    part of the join, so pairs that cannot be similar are never put out.
+    Sets meet on a word of both prefixes. Length, position and parity filters
+    are part of the join, so pairs that cannot be similar are never put out.
     """
-    rows = (
-        sets.select(*KEYS, "prefix")
-        .join(settled.withColumn("settled", F.lit(True)), KEYS, "left")
-        .select(*KEYS, F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("at", "word"))
-        .where("word IS NOT NULL")
-    )
+    marked = sets.join(settled.withColumn("settled", F.lit(True)), KEYS, "left")
+    rows = narrow_rows(marked, F.col("prefix"), F.col("settled").isNull())
     x, y = rows.alias("x"), rows.alias("y")
-    x_n, y_n = F.col("x.n"), F.col("y.n")
-    shared = 1 + F.least(x_n - F.col("x.at") - 1, y_n - F.col("y.at") - 1)
+    x_shape, y_shape = F.col("x.shape"), F.col("y.shape")
+    x_n, y_n = size_in(x_shape), size_in(y_shape)
+    shared = 1 + F.least(x_n - place_in(x_shape) - 1, y_n - place_in(y_shape) - 1)
+    # Two sets of one document may be in either order.
+    useful = (open_in(x_shape) & (F.col("x.order") >= F.col("y.order"))) | (
+        open_in(y_shape) & (F.col("y.order") >= F.col("x.order"))
+    )
     fits = (
         (F.col("x.word") == F.col("y.word"))
         & (y_n <= x_n)
-        & (SIMILAR_OF * y_n >= SIMILAR * x_n)
+        & alike_in_size(x_n, y_n)
         & ((y_n < x_n) | (F.col("y.key") < F.col("x.key")))
-        & (F.col("x.open") | F.col("y.open"))
-        & may_be_alike(x_n, y_n, F.col("x.sign"), F.col("y.sign"))
+        & useful
+        & may_be_alike(x_n, y_n, "x.", "y.")
         & (shared >= least_overlap(x_n, y_n))
     )
     return x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
 def later_of_similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verify pairs by their whole word sets; rows (key, sign, n) of later ones.
+    """Verify pairs by their whole word sets; KEYS of the later ones.
 
     The words are read from the first line of each set again. A table of slots
     keeps most other lines from being shuffled; the join decides.
