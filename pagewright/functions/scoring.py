@@ -35,6 +35,27 @@ URL_MARKS = [
 PRODUCT_HINTS = ["price", "$", "add to cart", "buy now"]
 ARTICLE_HINTS = ["published", "author", "posted on"]
 DOC_HINTS = ["api", "function", "parameter", "example"]
+# Confidence by class from the URL's marks, from hints in the
+# text, and from an article element.
+URL_POINTS = {
+    "news": 0.8, "blog": 0.8, "product": 0.8, "homepage": 0.7, "category": 0.8, "documentation": 0.8, "generic": 0.5,
+}
+HINT_POINTS = {"news": 0.5, "blog": 0.6, "product": 0.6, "documentation": 0.6}
+ARTICLE_POINTS = {"news": 0.4, "blog": 0.5}
+# URL marks of the basic classes, and their confidence.
+BASIC_MARKS = {"product": ["/product/", "/item/"], "article": ["/article/", "/post/", "/blog/"]}
+BASIC_POINTS = {"product": 0.8, "article": 0.8, "homepage": 0.7, "search_results": 0.7, "other": 0.5}
+# URL marks and title words counted as features, in feature order.
+FEATURE_MARKS = [
+    ["/news/", "/article/"],
+    ["/blog/", "/post/"],
+    ["/product/", "/item/", "/shop/"],
+    ["/docs/", "/documentation/"],
+    ["/category/", "/categories/"],
+]
+FEATURE_TITLES = ["home", "product", "blog"]
+BASIC_FEATURE_MARKS = [["/product/", "/item/"], ["/article/", "/post/"], ["/category/", "/catalog/"], ["search", "query"]]
+BASIC_FEATURE_WORDS = ["article", "product", "search"]
 
 
 def quality_score(html: Column | str) -> Column:
@@ -86,19 +107,18 @@ def page_type_scores(html: Column | str, url: Column | str) -> Column:
     def points(test: Column, value: float) -> Column:
         return F.when(test, value).otherwise(0.0)
 
+    hint_of = {"news": "wrote", "blog": "wrote", "product": "sells", "documentation": "explains"}
+
     def scores(x: Column) -> Column:
-        def base(name: str, value: float) -> Column:
-            return points(x["kind"] == name, value)
+        def best(name: str) -> Column:
+            arms = [points(x["kind"] == name, URL_POINTS[name])]
+            if name in HINT_POINTS:
+                arms.append(points(x[hint_of[name]], HINT_POINTS[name]))
+            if name in ARTICLE_POINTS:
+                arms.append(points(x["article"], ARTICLE_POINTS[name]))
+            return F.greatest(*arms) if len(arms) > 1 else arms[0]
 
-        return F.array(
-            F.greatest(base("news", 0.8), points(x["wrote"], 0.5), points(x["article"], 0.4)),
-            F.greatest(base("blog", 0.8), points(x["wrote"], 0.6), points(x["article"], 0.5)),
-            F.greatest(base("product", 0.8), points(x["sells"], 0.6)),
-            base("homepage", 0.7),
-            base("category", 0.8),
-            F.greatest(base("documentation", 0.8), points(x["explains"], 0.6)),
-            base("generic", 0.5),
-        )
+        return F.array(*[best(name) for name in PAGE_TYPES])
 
     def normalised(s: Column) -> Column:
         total = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x)
@@ -130,20 +150,15 @@ def page_type(html: Column | str, url: Column | str) -> Column:
 def page_type_scores_basic(url: Column | str) -> Column:
     u = as_col(url)
     chosen = (
-        F.when(has_any(u, ["/product/", "/item/"]), "product")
-        .when(has_any(u, ["/article/", "/post/", "/blog/"]), "article")
+        F.when(has_any(u, BASIC_MARKS["product"]), "product")
+        .when(has_any(u, BASIC_MARKS["article"]), "article")
         .when(occurrences(u, "/") <= 3, "homepage")
         .when(has(u, "search"), "search_results")
         .otherwise("other")
     )
-    value = (
-        F.when(chosen.isin("product", "article"), 0.8)
-        .when(chosen.isin("homepage", "search_results"), 0.7)
-        .otherwise(0.5)
-    )
     return F.map_from_arrays(
         F.array(*[F.lit(t) for t in PAGE_TYPES_BASIC]),
-        F.array(*[F.when(chosen == t, value).otherwise(0.0) for t in PAGE_TYPES_BASIC]),
+        F.array(*[F.when(chosen == t, BASIC_POINTS.get(t, 0.0)).otherwise(0.0) for t in PAGE_TYPES_BASIC]),
     )
 
 
@@ -166,11 +181,7 @@ def page_features(html: Column | str, url: Column | str) -> Column:
         dollars, euros, pounds = (occurrences(text, c) for c in ("$", "€", "£"))
         price = F.when(dollars > 0, dollars).when(euros > 0, euros).otherwise(pounds)
         return F.array(
-            flag(has_any(lowered, ["/news/", "/article/"])),
-            flag(has_any(lowered, ["/blog/", "/post/"])),
-            flag(has_any(lowered, ["/product/", "/item/", "/shop/"])),
-            flag(has_any(lowered, ["/docs/", "/documentation/"])),
-            flag(has_any(lowered, ["/category/", "/categories/"])),
+            *[flag(has_any(lowered, marks)) for marks in FEATURE_MARKS],
             occurrences(u, "/").cast("double"),
             flag(occurrences(u, "/") <= 2),
             _count_tags(clean, "article"),
@@ -183,9 +194,7 @@ def page_features(html: Column | str, url: Column | str) -> Column:
             price.cast("double"),
             _count_tags(clean, "img"),
             _count_tags(clean, "a"),
-            flag(has(title, "home")),
-            flag(has(title, "product")),
-            flag(has(title, "blog")),
+            *[flag(has(title, word)) for word in FEATURE_TITLES],
         )
 
     bound = F.struct(
@@ -203,10 +212,7 @@ def page_features_basic(html: Column | str, url: Column | str) -> Column:
         lowered = F.lower(text)
         products = F.size(find_all(clean, rf"(?is)<[a-z][a-z0-9]*\s{class_attr(['product'])}"))
         return F.array(
-            flag(has_any(u, ["/product/", "/item/"])),
-            flag(has_any(u, ["/article/", "/post/"])),
-            flag(has_any(u, ["/category/", "/catalog/"])),
-            flag(has_any(u, ["search", "query"])),
+            *[flag(has_any(u, marks)) for marks in BASIC_FEATURE_MARKS],
             flag(occurrences(u, "/") <= 3),
             _count_tags(clean, "article"),
             products.cast("double"),
@@ -214,9 +220,7 @@ def page_features_basic(html: Column | str, url: Column | str) -> Column:
             _count_tags(clean, "table"),
             flag(clean.rlike(r"""(?is)<[a-z][^>]*[\s"']itemprop\s*=\s*["']?price["'\s>]""")),
             F.length(text) / 1000.0,
-            occurrences(lowered, "article") / 100.0,
-            occurrences(lowered, "product") / 100.0,
-            occurrences(lowered, "search") / 100.0,
+            *[occurrences(lowered, word) / 100.0 for word in BASIC_FEATURE_WORDS],
         )
 
     return let(F.struct(markup(h).alias("clean"), raw_text(h).alias("text")), build)

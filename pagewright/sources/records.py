@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,51 +57,52 @@ def vector_table(records: DataFrame, vectors: DataFrame, key: str = "url", embed
     )
 
 
-def _nearest(batches: Iterator[pd.DataFrame], ids: np.ndarray, targets: np.ndarray, k: int, key: str):
-    """Per Arrow batch, the k nearest rows of each query."""
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-        names = batch[key].to_numpy()
-        found = []
-        for query, target in zip(ids, targets):
-            distance = np.square(rows - target).sum(axis=1)
-            best = np.lexsort((names, distance))[:k]
-            found.append(pd.DataFrame({"query_id": query, key: names[best], "distance": distance[best]}))
-        yield pd.concat(found)
+def _nearest(k: int, key: str):
+    """The k nearest rows of a shard for each query of a block."""
+
+    def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], key: [], "distance": []}).astype({"query_id": "int64", key: "int64"})]
+        if len(queries) and len(shard):
+            rows, names = np.stack(shard["embedding"].to_numpy()).astype(np.float64), shard[key].to_numpy()
+            for query, target in zip(queries["query_id"], queries["embedding"]):
+                distance = np.square(rows - np.asarray(target, dtype=np.float64)).sum(axis=1)
+                best = np.lexsort((names, distance))[:k]
+                found.append(pd.DataFrame({"query_id": query, key: names[best], "distance": distance[best]}))
+        return pd.concat(found)
+
+    return run
 
 
 def knn_l2(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", chunk_rows: int = 20_000
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    key: str = "vec_id",
+    block_rows: int = 4_096,
+    shard_rows: int = 8_192,
 ) -> DataFrame:
     """Exact k nearest vectors per query by squared L2 distance.
 
-    Queries go out in chunks of bounded size. Each task scans its vectors
-    once per chunk and passes on only k rows per query and Arrow batch, so
-    the pairs themselves are never rows. ``key`` is a number.
+    Queries and vectors are dealt into blocks and shards of about these sizes;
+    every pair of a block and a shard is one group, held by one task, which
+    passes on k rows per query. Neither side goes through the driver. ``key``
+    is a number.
     """
-    spark = vectors.sparkSession
-    q = queries.select(key, "embedding")
-    chunks = max(1, -(-q.count() // chunk_rows))
-    numbered = q.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
-    parts = []
-    for chunk in range(chunks):
-        held = numbered.filter(F.col("_chunk") == chunk).select(key, "embedding").collect()
-        if not held:
-            continue
-        sent = spark.sparkContext.broadcast(
-            (np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64))
-        )
-        parts.append(
-            vectors.select(key, "embedding").mapInPandas(
-                lambda it, sent=sent: _nearest(it, sent.value[0], sent.value[1], k, key),
-                f"query_id long, {key} long, distance double",
-            )
-        )
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, {key} long, distance double, rank int")
-    scored = reduce(DataFrame.unionByName, parts)
+    blocks, shards = max(1, -(-queries.count() // block_rows)), max(1, -(-vectors.count() // shard_rows))
+    asked = queries.select(
+        F.col(key).alias("query_id"),
+        F.col("embedding").alias("embedding"),
+        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+    ).toDF("query_id", "embedding", "block", "shard")
+    held = vectors.select(
+        key,
+        "embedding",
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64(key, F.lit(2)), F.lit(shards)).alias("shard"),
+    ).toDF(key, "embedding", "block", "shard")
+    pairs = asked.groupBy("block", "shard").cogroup(held.groupBy("block", "shard"))
+    scored = pairs.applyInPandas(_nearest(k, key), f"query_id long, {key} long, distance double")
     return top_per_group(scored, ["query_id"], [F.col("distance"), F.col(key)], k, rank="rank")
 
 

@@ -158,7 +158,7 @@ def test_vector_table_rejects_missing_vectors(spark):
 
 def test_knn_in_query_chunks(spark):
     vecs = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
-    got = {(r.query_id, r.vec_id) for r in records.knn_l2(vecs, vecs, 2, chunk_rows=7).collect()}
+    got = {(r.query_id, r.vec_id) for r in records.knn_l2(vecs, vecs, 2, block_rows=7, shard_rows=9).collect()}
     assert len(got) == 120 and (0, 0) in got and (0, 1) in got and (30, 29) in got
 
 
