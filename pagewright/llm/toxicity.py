@@ -95,16 +95,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MOD == 0, F.lit(False))
 
 
+def packed(features: set[int]) -> bytes:
+    """Feature numbers in order, four bytes each: small on their way and kept."""
+    return np.array(sorted(features), dtype="<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u4").astype(np.int64)
+
+
 def _bags(terms):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own, gained, lost = [], [], []
             for text in batch["text"]:
                 here = bag(words_of(text))
-                own.append(sorted(here))
+                own.append(packed(here))
                 others = [bag(words) for words in swaps(text, terms)]
-                gained.append([sorted(o - here) for o in others])
-                lost.append([sorted(here - o) for o in others])
+                gained.append([packed(o - here) for o in others])
+                lost.append([packed(here - o) for o in others])
             yield pd.DataFrame({"toxic": batch["toxic"], "own": own, "gained": gained, "lost": lost})
 
     return run
@@ -131,14 +140,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS) -> D
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
         .repartition("doc_id")
-        .mapInPandas(_bags(terms), "toxic int, own array<int>, gained array<array<int>>, lost array<array<int>>")
+        .mapInPandas(_bags(terms), "toxic int, own binary, gained array<binary>, lost array<binary>")
     )
 
 
 def _columns(rows, column: np.ndarray):
     """Row numbers and column numbers of the known features of each row."""
     sizes = [len(r) for r in rows]
-    flat = column[np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])] if sum(sizes) else np.zeros(0, np.int64)
+    flat = column[np.concatenate(rows)] if sum(sizes) else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
     return at[flat >= 0], flat[flat >= 0]
 
@@ -156,7 +165,7 @@ def learn(rows: pd.DataFrame, swap_penalty: float = SWAP_PENALTY) -> Model:
     if not 0 < toxic < n:
         share = (toxic + 0.1) / (n + 1.0)
         return Model(float(np.log(share / (1 - share))), {})
-    own = [np.asarray(r, dtype=np.int64) for r in rows["own"]]
+    own = [unpacked(r) for r in rows["own"]]
     flat, at = np.concatenate(own), np.repeat(y, [len(r) for r in own])
     seen = np.bincount(flat, minlength=BUCKETS)
     in_toxic = np.bincount(flat, weights=at, minlength=BUCKETS)
@@ -167,8 +176,8 @@ def learn(rows: pd.DataFrame, swap_penalty: float = SWAP_PENALTY) -> Model:
     column = np.full(BUCKETS, -1, dtype=np.int64)
     column[chosen] = np.arange(len(chosen))
     row, col = _columns(own, column)
-    gained = [g for r in rows["gained"] for g in r]
-    lost = [g for r in rows["lost"] for g in r]
+    gained = [unpacked(g) for r in rows["gained"] for g in r]
+    lost = [unpacked(g) for r in rows["lost"] for g in r]
     pairs = len(gained)
     more_row, more_col = _columns(gained, column)
     less_row, less_col = _columns(lost, column)
