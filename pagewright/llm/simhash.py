@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import stored
 from pagewright.llm.components import components, roots_of
+from pagewright.llm.shingles import jaccard_links
 
 SHINGLE = 3
 SEED = 42
@@ -201,9 +202,12 @@ def links(distinct: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     return nodes.repartition("node").sortWithinPartitions("node").mapInPandas(_join_tries, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS, jaccard: bool = False) -> DataFrame:
     """Rows (doc_id, mark, fp, component_id, keep), one per document row.
 
+    With ``jaccard``, texts are also linked from a Jaccard similarity of 4 / 5
+    of their five-word shingles on, however many bits their fingerprints differ.
+
     ``component_id`` is the least doc_id that links lead to, ``keep`` marks the
     rows of that document with the least ``mark``. Texts without words have
     fingerprint zero and are linked like any other. Repeated rows stay; rows
@@ -212,7 +216,11 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     marks = stored(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     distinct = marks.groupBy("fp").agg(first)
-    found = components(links(distinct.select("fp"), node_rows))
+    linked = links(distinct.select("fp"), node_rows)
+    if jaccard:
+        linked = stored(linked, "links")
+        linked = linked.unionByName(jaccard_links(docs, marks.select("mark", "fp"), linked))
+    found = components(linked)
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -227,13 +235,13 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     )
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, jaccard: bool = False) -> DataFrame:
     """Documents that stay when one of each group of near duplicates stays.
 
     It is the one with the least doc_id; of rows that repeat it, one. Groups
     whose rows all lack a doc_id keep one row as well.
     """
-    kept = near_duplicates(docs).where("keep").select(
+    kept = near_duplicates(docs, jaccard=jaccard).where("keep").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_kept_id"), F.col("mark").alias("_kept_mark")
     )
     keyed = docs.select(
