@@ -10,8 +10,8 @@ from pagewright.llm.common import stored
 # Lines are alike from this Jaccard similarity of their word sets on: 4 / 5.
 # The filters below follow from it in whole numbers.
 SIMILAR_OF, SIMILAR = 5, 4
-# Lines of fewer different words are left alone, also where they repeat.
-MIN_WORDS = 5
+# Sets of fewer words are alike only when equal, and meet no other set.
+JOINED_WORDS = 4
 # Words fall into this many slots, whose counts order them by rarity. The order
 # decides how fast the join is, never what it finds.
 SLOT_BITS = 18
@@ -34,6 +34,10 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((SIMILAR * n + SIMILAR_OF - 1) / SIMILAR_OF) + 1).cast("int")
 
 
+def joined_prefix(n: Column) -> Column:
+    return F.when(n >= JOINED_WORDS, prefix_length(n)).otherwise(0)
+
+
 def may_be_alike(x_n: Column, y_n: Column, x: str, y: str) -> Column:
     """A word of one set only flips at most one bit of the parities' difference.
 
@@ -100,10 +104,11 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_marks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, line_no, KEYS, prefix) of lines that take part.
+    """Rows (doc_id, mark, line_no, KEYS, prefix) of lines with words.
 
     Words are ordered by rarity class and then hash. ``prefix`` has the rarest
-    words as 32-bit hashes, null for words that occur nowhere else.
+    words as 32-bit hashes, null for words that occur nowhere else; it is empty
+    for sets of fewer than JOINED_WORDS words.
     """
     rarity = rarity_table(docs)
     low = (1 << 56) - 1
@@ -128,7 +133,7 @@ def line_marks(docs: DataFrame) -> DataFrame:
             parity(words, 0).alias("even"),
             parity(words, 1).alias("odd"),
             F.size(words).cast("long").alias("n"),
-            F.transform(F.slice(words, 1, prefix_length(F.size(words))), short).alias("prefix"),
+            F.transform(F.slice(words, F.lit(1), joined_prefix(F.size(words))), short).alias("prefix"),
         )
 
     words = F.sort_array(F.transform(word_hashes(F.col("line")), ordered))
@@ -136,7 +141,7 @@ def line_marks(docs: DataFrame) -> DataFrame:
     return (
         numbered_lines(docs)
         .select("doc_id", "mark", "line_no", F.inline(F.transform(F.array(words), describe)))
-        .where(F.col("n") >= MIN_WORDS)
+        .where("n > 0")
     )
 
 
@@ -271,9 +276,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     A line goes when an earlier line (by doc_id, then line number) has a
     Jaccard similarity of 4 / 5 or more of word sets, whether or not that line
     goes itself. Case does not count, nor do order and repetition of words.
-    Lines of fewer than MIN_WORDS different words stay. Rows that repeat doc_id
-    and text count as one document and lose the same lines; rows without a
-    doc_id come last; null texts have no lines.
+    Lines without words stay. Rows that repeat doc_id and text count as one
+    document and lose the same lines; rows without a doc_id come last; null
+    texts have no lines.
     """
     plain = docs.select("doc_id", "text")
     marks = stored(line_marks(plain), "marks")
