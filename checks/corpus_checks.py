@@ -765,9 +765,9 @@ test_summary.__test__ = False
 
 @check("train_and_predict")
 def train_and_predict(spark, d):
-    # Labels are the heuristic types; a small forest keeps the check quick.
+    # Labels are the heuristic types.
     p = enriched(spark, d).select("page_id", F.col("url2").alias("url"), "html").withColumn("label", SC.page_type("html", "url"))
-    model = classifier.train_page_classifier(p, "label", trees=20, vocabulary=500)
+    model = classifier.train_page_classifier(p, "label")
     return classifier.predict_page_type(model, p).select("page_id", "label", "page_type")
 
 
