@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import Broadcast
@@ -21,6 +22,8 @@ CHUNK = 32_768
 OVERLAP = 2_048
 # A match that ends this close to a cut might have gone on behind it.
 UNSURE = 3
+# Runs of white space from this length on are not given to the library's splitter.
+LONG_BLANKS = 100_000
 # Rows whose ids a worker holds at a time.
 ROWS = 256
 
@@ -49,7 +52,14 @@ class Codec:
         self.words = regex.compile(vocabulary.pattern)
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+        """Ids of a text.
+
+        The library's own splitter gives up on very long runs of white space,
+        so a text with one is split here, and merged match by match.
+        """
+        if len(text) < LONG_BLANKS or not regex.search(rf"\s{{{LONG_BLANKS}}}", text):
+            return self.encoding.encode_ordinary(text)
+        return [i for m in self.words.finditer(text) for i in self.encoding._encode_single_piece(m[0])]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -71,24 +81,41 @@ def codec_of(vocabulary: Broadcast) -> Codec:
     return value["codec"]
 
 
-# doc_id, ids as little-endian 32-bit integers.
+# Ids are little-endian 32-bit integers.
 IDS = "ids binary"
+ARROW_OF = {
+    "ids": pa.binary(),
+    "data": pa.binary(),
+    "n_tokens": pa.int64(),
+    "ids_sha256": pa.string(),
+    "decoded_sha256": pa.string(),
+}
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.iloc[at : at + ROWS]
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def with_columns(batch: pa.RecordBatch, keep: list[str], added: dict[str, list]) -> pa.RecordBatch:
+    """Kept columns stay as they came, 64-bit ids next to nulls included."""
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in keep), *map(pa.array, added.values(), map(ARROW_OF.__getitem__, added))],
+        [*keep, *added],
+    )
 
 
 def _encode_whole(vocabulary: Broadcast, keep: list[str], digests: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         for batch in _slices(batches):
+            texts = (t.as_py() or "" for t in batch.column("text"))
             if digests:
-                yield batch[keep].assign(**digests_of(codec, (codec.encode(t or "") for t in batch["text"])))
+                yield with_columns(batch, keep, digests_of(codec, map(codec.encode, texts)))
             else:
-                yield batch[keep].assign(ids=[np.array(codec.encode(t or ""), dtype="<u4").tobytes() for t in batch["text"]])
+                ids = [np.array(codec.encode(t), dtype="<u4").tobytes() for t in texts]
+                yield with_columns(batch, keep, {"ids": ids})
 
     return run
 
@@ -192,10 +219,11 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _digest(vocabulary: Broadcast, keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         for batch in _slices(batches):
-            yield batch[keep].assign(**digests_of(codec, (np.frombuffer(raw, dtype="<u4").tolist() for raw in batch["ids"])))
+            ids = (np.frombuffer(raw.as_py(), dtype="<u4").tolist() for raw in batch.column("ids"))
+            yield with_columns(batch, keep, digests_of(codec, ids))
 
     return run
 
@@ -217,23 +245,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
     fields = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
     is_long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    short = rows.where(~is_long).mapInPandas(
+    short = rows.where(~is_long).mapInArrow(
         _encode_whole(spread, keep, digests), f"{fields}{DIGESTS if digests else IDS}"
     )
     hashed = rows.where(is_long).withColumn("_key", F.sha2("text", 256))
     texts = hashed.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
     ids = encode_long(texts, spread).withColumnRenamed("key", "_key")
     if digests:
-        ids = ids.mapInPandas(_digest(spread, ["_key"]), f"_key string, {DIGESTS}")
+        ids = ids.mapInArrow(_digest(spread, ["_key"]), f"_key string, {DIGESTS}")
     return short.unionByName(hashed.select(*keep, "_key").join(ids, "_key").drop("_key"))
 
 
 def _decode(vocabulary: Broadcast, keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for batch in batches:
-            data = [codec.decode(np.frombuffer(raw or b"", dtype="<u4").tolist()) for raw in batch["ids"]]
-            yield batch[keep].assign(data=data)
+        for batch in _slices(batches):
+            ids = (np.frombuffer(raw.as_py() or b"", dtype="<u4").tolist() for raw in batch.column("ids"))
+            yield with_columns(batch, keep, {"data": list(map(codec.decode, ids))})
 
     return run
 
@@ -242,6 +270,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Replace ids by ``data``, the bytes of all ids one after another."""
     keep = [c for c in encoded.columns if c != "ids"]
     fields = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*keep).dtypes)
-    return encoded.mapInPandas(
+    return encoded.mapInArrow(
         _decode(shared(encoded.sparkSession, vocabulary), keep), f"{fields}{', ' if keep else ''}data binary"
     )

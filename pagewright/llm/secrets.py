@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,11 +127,13 @@ def spans_of(text: str | None, words: ahocorasick.Automaton) -> list[tuple[str,
     return [(KINDS[k], at, end) for at, k, end in sorted(found)]
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow columns keep 64-bit ids exact, next to nulls as well."""
     words = automaton()
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, words)] for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
+        spans = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t.as_py(), words)] for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     One pass without a shuffle. Null and empty texts have no spans; repeated
     rows are scanned as often as they occur; a null doc_id stays null.
     """
-    return docs.select("doc_id", "text").mapInPandas(_scan, f"doc_id long, {SPANS}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, f"doc_id long, {SPANS}")
 
 
 def span_text(spans: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,10 +49,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(last), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow columns keep 64-bit ids exact, next to nulls as well."""
     for batch in batches:
-        marks = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "fp": marks.view(np.int64)})
+        marks = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("mark"), pa.array(marks.view(np.int64))], ["doc_id", "mark", "fp"]
+        )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ``mark`` is a hash of the text that tells rows of one doc_id apart.
     """
     return docs.select(
-        "doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")
-    ).mapInPandas(_fingerprints, "doc_id long, mark long, fp long")
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")
+    ).mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
 
 
 def trie_links(fps: np.ndarray, low: np.ndarray, high: np.ndarray, budget: int = BUDGET) -> Iterator[tuple]:

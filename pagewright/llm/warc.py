@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ NULL_ID = "none"
 MIN_REVISIT_BYTES = 0
 # Bytes read from an archive at a time.
 READ_BYTES = 1 << 16
+# Reading tasks at most; beyond it, a task reads one archive after another.
+READ_TASKS = 100_000
 # A task begins a new archive when one has grown to this many bytes.
 ARCHIVE_BYTES = 1 << 28
 
@@ -172,22 +174,26 @@ RECORDS = (
     "archive string, record_no long, page_id long, url string, record_type string, payload_digest string, "
     "payload_bytes long, refers_to long, payload binary"
 )
+ARROW_OF = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+# Records that one batch of a reading task holds at most.
+BATCH_RECORDS = 4_096
 
 
 def _write(folder: str, archive_bytes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = arrow_fs.FileSystem.from_uri(folder)
         path, out, records, size = "", None, 0, 0
         for batch in batches:
-            for page_id, url, data, refers_to in zip(batch["page_id"], batch["url"], batch["data"], batch["refers_to"]):
+            # Row by row out of Arrow: ids stay whole numbers next to nulls.
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "data", "refers_to"))):
+                page_id, url, data, refers_to = (value.as_py() for value in row)
                 if out is None:
                     # A task that is run again takes new names; only the
                     # archives of tasks whose rows were kept are read.
                     path, records, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{base}/{path}", compression=None)
                 data = data or b""
-                ids = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
-                member = gzip_member(record_bytes(ids[0], url, data, block_digest(data), ids[1]))
+                member = gzip_member(record_bytes(page_id, url, data, block_digest(data), refers_to))
                 out.write(member)
                 records, size = records + 1, size + len(member)
                 if size >= archive_bytes:
@@ -201,8 +207,8 @@ def _write(folder: str, archive_bytes: int):
     return run
 
 
-def _listed(folder: str, path: str, records: int, size: int) -> pd.DataFrame:
-    return pd.DataFrame({"path": [f"{folder}/{path}"], "records": [records], "bytes": [size]})
+def _listed(folder: str, path: str, records: int, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "records": [records], "bytes": [size]})
 
 
 def write_archives(
@@ -226,13 +232,12 @@ def write_archives(
         (F.octet_length("data") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")
     )
     rows = named.join(last, "digest").select("page_id", "url", "data", refers.alias("refers_to"))
-    return stored(rows.mapInPandas(_write(folder, archive_bytes), ARCHIVES), "archives")
+    return stored(rows.mapInArrow(_write(folder, archive_bytes), ARCHIVES), "archives")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in RECORDS.split(", ")]
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path in batch["path"]:
+        for path in batch.column("path").to_pylist():
             files, place = arrow_fs.FileSystem.from_uri(path)
             with files.open_input_stream(place, compression=None) as file:
                 rows, held = [], 0
@@ -255,26 +260,30 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         )
                     )
                     held += len(payload)
-                    if held > 16 * READ_BYTES:
-                        yield _frame(rows, names)
+                    if held > 16 * READ_BYTES or len(rows) >= BATCH_RECORDS:
+                        yield _batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield _frame(rows, names)
+                    yield _batch(rows)
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [part.split() for part in RECORDS.split(", ")]
+    columns = [pa.array(values, ARROW_OF[kind]) for values, (_, kind) in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of the archives named in ``path``, one archive after another.
 
-    Archives are dealt out evenly; each is read in sequence in bounded memory.
+    There are as many reading tasks as archives (READ_TASKS at most); each
+    archive is read in sequence in bounded memory. The number is given, so
+    that names, which are few bytes, are not merged into one task again.
     Revisits have an empty payload, and the length of the one they stand for.
     """
     listed = archives.select("path")
-    return listed.repartition(F.col("path")).mapInPandas(_read, RECORDS)
+    tasks = max(1, min(listed.count(), READ_TASKS))
+    return listed.repartition(tasks).mapInArrow(_read, RECORDS)
 
 
 def archive_folder(spark) -> str:

@@ -1,4 +1,4 @@
-"""Near-copy links of the pipeline against all pairs of shingle sets."""
+"""Near-copy links of the SimHash operator against all pairs of shingle sets."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import random
 import pytest
 
 pytest.importorskip("pagewright.llm")
-import corpus_pipeline  # noqa: E402
-from pagewright.llm import shingles  # noqa: E402
+from pagewright.llm import shingles, simhash  # noqa: E402
 
 from .test_simhash import brute_fingerprint  # noqa: E402
 
@@ -41,7 +40,7 @@ def kept_by_all_pairs(rows):
 
 def kept(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect())
+    return sorted(r.doc_id for r in simhash.first_of_each_group(docs, jaccard=True).collect())
 
 
 @pytest.mark.parametrize("hot", [500, 3])
