@@ -27,10 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the least doc_id.
 
-    Near are fingerprints within op2's two bits and, whatever their bits, texts
-    whose five-word shingles have a Jaccard similarity of 4 / 5 or more.
+    Near are fingerprints of three-word shingles within two bits, as in op2.
     """
-    return simhash.first_of_each_group(docs, jaccard=True)
+    return simhash.first_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
