@@ -457,8 +457,13 @@ def skip(var: str, words) -> str:
     return f"NOT {S.any_of(var, words)}"
 
 
+# The entity patterns as plain regular expressions.
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+DOMAIN = rf"(?:https?://)?(?:www\.)?({LABEL}(?:\.{LABEL})*)"
+
 EMAILS = arr_sorted(
-    f"list_concat({S.tfilter(S.tmap(S.rxall(RAW, EN.EMAIL), 'lower(x)'), skip('x', EN.EMAIL_SKIP))}, "
+    f"list_concat({S.tfilter(S.tmap(S.rxall(RAW, EMAIL), 'lower(x)'), skip('x', EN.EMAIL_SKIP))}, "
     + S.tfilter(
         S.tmap(
             S.tfilter(HREFS, "x LIKE 'mailto:%'"), "lower(split_part(replace(x, 'mailto:', ''), '?', 1))"
@@ -491,7 +496,7 @@ PROFILES = cat(
 )
 USERNAMES = arr_sorted(f"list_concat({NAMES}, {PROFILES})")
 TEXT_DOMAINS = S.tfilter(
-    S.tmap(S.rxall(RAW, EN.DOMAIN, 1), "lower(x)"), f"contains(x, '.') AND {skip('x', EN.DOMAIN_SKIP)}"
+    S.tmap(S.rxall(RAW, DOMAIN, 1), "lower(x)"), f"contains(x, '.') AND {skip('x', EN.DOMAIN_SKIP)}"
 )
 OWN = S.rx("url", r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?")
 LINK_DOMAINS = S.tfilter(

@@ -10,7 +10,13 @@ from pagewright.functions.html import anchor_hrefs, raw_text
 from pagewright.functions.urls import SPLIT, netloc_of
 
 # Entity patterns and the markers of false positives.
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# The address is group 1. Only the first word boundary of a run of its
+# characters is tried, or the end of the match before, so that a long run is
+# read once; a later boundary leads to the same @.
+EMAIL = (
+    r"(?:(?<![A-Za-z0-9._%+-])(?:\b|(?:[.%+-]++|[A-Za-z0-9_]++)\b)|\G\b)"
+    r"([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b)"
+)
 EMAIL_SKIP = ["example.com", "test@", "noreply", "no-reply"]
 PHONES = [
     r"\+?[0-9]{1,3}[-.\s]?\(?[0-9]{1,4}\)?[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,9}",
@@ -30,15 +36,17 @@ PROFILE_LINKS = [
     ("linkedin", r"linkedin\.com/in/([A-Za-z0-9_-]+)"),
     ("instagram", r"instagram\.com/([A-Za-z0-9_.]+)"),
 ]
+# Nothing follows the labels, so their loop need not give any back; possessive,
+# it runs without recursion on any number of labels.
 DOMAIN = (
     r"(?:https?://)?(?:www\.)?"
-    r"([a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*)"
+    r"([a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*+)"
 )
 DOMAIN_SKIP = ["example", "localhost", "test"]
 
 
 def emails_in(text: Column | str) -> Column:
-    found = F.transform(find_all(as_col(text), EMAIL), F.lower)
+    found = F.transform(find_all(as_col(text), EMAIL, 1), F.lower)
     return F.filter(found, lambda e: ~has_any(e, EMAIL_SKIP))
 
 

@@ -213,3 +213,15 @@ def test_unknown_charset_is_not_guessed(one):
     assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode("shift_jis"))) is None
     assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode())) == "漢字"
     assert one(lambda b: LG.is_decodable(headers), bytearray(b"")) is False
+
+
+def test_entities_of_hostile_text(one):
+    """Long dotted or chained text takes linear time and no deep stack."""
+    from pagewright.functions import entities as E
+
+    labels = "http://" + "a." * 100_000 + "org"
+    assert one(lambda t: F.array(*[F.size(E.extract_domains(t, F.lit("http://h/"))), F.size(E.extract_emails(t))]), labels) == [1, 0]
+    for text, mails in (("x@" + "a." * 500_000, 0), ("a." * 500_000, 0), ("ab." * 300_000 + "@mail.org", 1)):
+        assert one(lambda t: F.size(E.extract_emails(t)), text) == mails
+    tricky = "é.x@a.org éa.b@c.org x@y.org-z@w.org ..m@n.org"
+    assert one(lambda t: E.emails_in(t), tricky) == [".x@a.org", ".b@c.org", "x@y.org", "-z@w.org", "m@n.org"]
