@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, ego, lines, mixing, pii, secrets, simhash, topk, toxicity, warc
+from pagewright.llm import bpe, ego, lines, mixing, phrases, pieces, pii, runs, secrets, simhash, topk, toxicity, warc
 from pagewright.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +187,59 @@ FROM d LEFT JOIN r USING (doc_id)
 @query("op9_line_dedup", LINES_SQL)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def piece_model() -> bytes:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), piece_model(), digests=True)
+
+
+def planted_run(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words of a document whose end is made periodic, if it is."""
+    if doc_id is None or not n or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_run))
+
+
+PHRASES_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+x AS (SELECT c.lang, c.phrase, c.k, c.a, unnest(range(1, c.k)) AS cut, string_split(c.phrase, ' ') AS words FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, n.n, 1000 * x.a::HUGEINT * n.n // (l.a::HUGEINT * r.a) AS score
+      FROM x JOIN n ON n.lang = x.lang
+      JOIN f l ON l.lang = x.lang AND l.k = x.cut AND l.phrase = array_to_string(x.words[:x.cut], ' ')
+      JOIN f r ON r.lang = x.lang AND r.k = x.k - x.cut AND r.phrase = array_to_string(x.words[x.cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (
+        SELECT 1 FROM c WHERE c.lang = b.lang AND c.a >= b.a AND c.k > len(string_split(b.phrase, ' '))
+        AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASES_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
