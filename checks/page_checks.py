@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqlkit as S
 from checks.registry import check, enriched, joined, map_text, pages, table
 from checks.url_checks import LINKS, TRAP
+from pagewright.functions import elements as EL
 from pagewright.functions import entities as EN
 from pagewright.functions import html as H
 from pagewright.functions import language as LG
@@ -128,23 +129,71 @@ per_page("page_description", DESCRIPTION, lambda: H.page_description("html"))
 per_page("page_keywords", KEYWORDS, lambda: joined(H.page_keywords("html")))
 per_page("visible_text", VISIBLE, lambda: H.visible_text("html"))
 per_page("word_count", WORDS, lambda: H.word_count(H.visible_text("html")))
-BARE = S.rm(S.rm("html", H.INVISIBLE), H.BOILERPLATE)
-CLEAN = S.strip(S.rm(S.visible(BARE), r"\s+", " "))
-per_page("remove_boilerplate", CLEAN, lambda: H.remove_boilerplate("html"))
-MAIN_SRC = S.rm("html", r"(?is)<!--.*?-->|<script(?:[\s/][^>]*)?>.*?</script\s*>|<style(?:[\s/][^>]*)?>.*?</style\s*>")
-MAIN_HIT = "coalesce(" + ", ".join(f"{S.rxall(MAIN_SRC, H.selector_pattern(s))}[1]" for s in H.MAIN_SELECTORS) + ")"
-MAIN = f"CASE WHEN {MAIN_HIT} IS NOT NULL THEN {S.visible(MAIN_HIT)} ELSE {CLEAN} END"
-per_page("main_content", MAIN, lambda: H.main_content("html"))
-BLOCKS = (
-    f"list_concat(list_concat({S.rxall('html', '(?is)' + H.block('article'))}, {S.rxall('html', '(?is)' + H.block('main'))}),"
-    f" {S.rxall('html', '(?is)' + H.block('div'))})"
-)
-SIZED = f"list_transform({BLOCKS}, lambda b, i: {{'n': length({S.rawtext('b')}), 'i': -i, 't': {S.rawtext('b')}}})"
-per_page(
+
+
+def element_sql(name: str, source: str) -> str:
+    """CTEs {name}_toks (page_id, i, tok) and {name}_els (page_id, i, j, tok).
+
+    Depth is counted for each tag name of a page on its own, as a running sum;
+    an element goes from an open tag to the next close tag at its depth.
+    """
+    return f"""{name}_toks AS (SELECT page_id, i, l[i] AS tok FROM (SELECT page_id, {S.rxall(source, EL.TOKEN)} AS l FROM p) s,
+  LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+ {name}_depth AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY i) AS depth FROM (
+  SELECT *, lower({S.rx('tok', EL.TAG, 2)}) AS name, CASE WHEN tok LIKE '</%' THEN -1 ELSE 1 END AS step FROM {name}_toks
+  WHERE {S.like('tok', EL.TAG)}) WHERE name NOT IN {S.inlist(EL.VOID)} AND NOT (step = 1 AND tok LIKE '%/>')),
+ {name}_els AS (SELECT o.page_id, o.i, o.tok, min(c.i) AS j FROM {name}_depth o JOIN {name}_depth c ON c.page_id = o.page_id
+  AND c.name = o.name AND c.step = -1 AND c.i > o.i AND c.depth = o.depth - 1 WHERE o.step = 1 GROUP BY ALL)"""
+
+
+def inside(name: str, element: str) -> str:
+    """Markup of an element of ``{name}_els``."""
+    return f"(SELECT string_agg(t.tok, '' ORDER BY t.i) FROM {name}_toks t WHERE t.page_id = {element}.page_id AND t.i BETWEEN {element}.i AND {element}.j)"
+
+
+def matching(selectors: list[str], tag: str = "tok") -> str:
+    return "(" + " OR ".join(S.like(tag, EL.open_tag_pattern(s)) for s in selectors) + ")"
+
+
+def first_of(name: str, selectors: list[str]) -> str:
+    """Markup of the first element of the first selector that has one."""
+    rank = " ".join(f"WHEN {S.like('tok', EL.open_tag_pattern(s))} THEN {n}" for n, s in enumerate(selectors))
+    return f"""(SELECT {inside(name, 'e')} FROM (SELECT *, CASE {rank} END AS r FROM {name}_els) e
+ WHERE e.page_id = p.page_id AND r IS NOT NULL ORDER BY r, i LIMIT 1)"""
+
+
+FRAMES = [*H.BOILERPLATE_TAGS, "noscript", *["." + c for c in H.BOILERPLATE_CLASSES], *["#" + c for c in H.BOILERPLATE_IDS]]
+BLOCK_SQL = f"""{element_sql('b', 'html')},
+ cut AS (SELECT * FROM b_els WHERE {matching(FRAMES)}),
+ rest AS (SELECT page_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM cut WHERE cut.page_id = t.page_id AND t.i BETWEEN cut.i AND cut.j)
+  THEN '<!---->' ELSE tok END, '' ORDER BY i) AS body FROM b_toks t GROUP BY page_id),
+ clean_of AS (SELECT page_id, {S.strip(S.rm(S.visible('body'), r"\s+", " "))} AS v
+  FROM (SELECT page_id, coalesce(body, '') AS body FROM p LEFT JOIN rest USING (page_id))),
+ main_of AS (SELECT page_id, CASE WHEN hit IS NOT NULL THEN {S.visible('hit')} ELSE clean_of.v END AS v
+  FROM (SELECT page_id, {first_of('b', H.MAIN_SELECTORS)} AS hit FROM p) JOIN clean_of USING (page_id))"""
+
+
+@check("remove_boilerplate", f"{E}, {BLOCK_SQL} SELECT page_id, v FROM clean_of")
+def remove_boilerplate(spark, d):
+    return enriched(spark, d).select("page_id", H.remove_boilerplate("html").alias("v"))
+
+
+@check("main_content", f"{E}, {BLOCK_SQL} SELECT page_id, v FROM main_of")
+def main_content(spark, d):
+    return enriched(spark, d).select("page_id", H.main_content("html").alias("v"))
+
+
+@check(
     "largest_block",
-    f"CASE WHEN list_max({SIZED}).n > 0 THEN list_max({SIZED}).t ELSE {S.rawtext()} END",
-    lambda: H.largest_block("html"),
+    f"""{E}, {element_sql('b', 'html')},
+ blocks AS (SELECT page_id, i, {S.rawtext('body')} AS t FROM (SELECT page_id, i, {inside('b', 'e')} AS body FROM b_els e WHERE {matching(H.BLOCK_TAGS)})),
+ best AS (SELECT * FROM blocks WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(t) DESC, i) = 1)
+ SELECT page_id, coalesce(best.t, {S.rawtext()}) AS v FROM p LEFT JOIN best USING (page_id)""",
 )
+def largest_block(spark, d):
+    return enriched(spark, d).select("page_id", H.largest_block("html").alias("v"))
+
+
 LD = S.tfilter(S.tmap(S.rxall(S.rm("html", H.NO_COMMENTS), H.JSONLD, 1), S.strip("x")), "json_valid(x)")
 per_page("jsonld", arr(LD), lambda: joined(H.jsonld("html")))
 
@@ -215,17 +264,15 @@ SELECTORS = {
     "date": ".publish-date, time[datetime]",
     "side": "#sidebar, aside",
 }
-SEL_SRC = S.markup()
 
 
 def sel(*choices: str) -> str:
-    hits = ", ".join(f"{S.rxall(SEL_SRC, H.selector_pattern(s))}[1]" for s in choices)
-    return S.visible(f"coalesce({hits}, NULL)")
+    return S.visible(first_of("m", list(choices)))
 
 
 @check(
     "custom_selectors",
-    f"""{E} SELECT url, {sel('h1.title')} AS title, {sel('.author-name', '.byline')} AS author,
+    f"""{E}, {element_sql('m', S.markup())} SELECT url, {sel('h1.title', '.article-title')} AS title, {sel('.author-name', '.byline')} AS author,
  {sel('.publish-date', 'time[datetime]')} AS date, {sel('#sidebar', 'aside')} AS side FROM p""",
 )
 def custom_selectors(spark, d):
@@ -635,11 +682,11 @@ TYPED_OF_PAGES = TYPED.replace("url2", "url")
 
 @check(
     "process_pages",
-    f"""{E}, {TYPED_OF_PAGES}, {GATED}, r AS (SELECT page_id, {ROUTE_OF_PAGES} AS route FROM p),
+    f"""{E}, {BLOCK_SQL}, {TYPED_OF_PAGES}, {GATED}, r AS (SELECT page_id, {ROUTE_OF_PAGES} AS route FROM p),
  k AS (SELECT source AS url, md5(string_agg(target, '|' ORDER BY target)) AS links FROM ({LINKS}) GROUP BY source),
  b AS (SELECT page_id, {BEST} AS page_type, round(greatest({', '.join(SC.PAGE_TYPES)}) / total, 6) AS type_score FROM z)
  SELECT p.page_id, r.route, CASE WHEN r.route = 'text' THEN {TITLE} END AS title, CASE WHEN r.route = 'text' THEN {WORDS} END AS words,
- CASE WHEN r.route = 'text' THEN md5({VISIBLE}) END AS text, CASE WHEN r.route = 'text' THEN md5({MAIN}) END AS main,
+ CASE WHEN r.route = 'text' THEN md5({VISIBLE}) END AS text, CASE WHEN r.route = 'text' THEN md5((SELECT v FROM main_of WHERE main_of.page_id = p.page_id)) END AS main,
  CASE WHEN r.route = 'text' THEN {DESCRIPTION} END AS description, {arr(LD)} AS jsonld, {OG} AS opengraph, {TW} AS twitter,
  b.page_type, b.type_score, coalesce(k.links, md5('')) AS links
  FROM p JOIN g USING (page_id) JOIN r USING (page_id) JOIN b USING (page_id) LEFT JOIN k ON k.url = p.url""",

@@ -78,6 +78,9 @@ CASE WHEN page_id % 2 = 1 THEN '<IMG src="/img/' || page_id || '.png" alt="pic"
 '<div class="big product"><div itemscope itemtype="https://schema.org/Product"><span itemprop="name">Thing &lt;' || page_id || '&gt;</span><meta itemprop="sku" content="S' || page_id || '"><a itemprop="link" href="/buy/' || page_id || '">buy</a><time itemprop=when datetime="2024-01-02">Jan</time></div></div>' ||
 '<p>Call +1 555 123 ' || (1000 + page_id % 9000) || ' or (555) 987-6543, mail sales' || (page_id % 29) || '@Shop.org or noreply@shop.org, follow @handle' || (page_id % 19) || ' at www.portal' || (page_id % 8) || '.net.</p>' ||
 CASE WHEN page_id % 8 = 3 THEN '<p>Page not found. 404 error: it does not exist.</p>' ELSE '' END ||
+CASE WHEN page_id % 3 = 0 THEN '<div class="content wrap"><div class="intro">intro ' || page_id || '</div><p>the real body</p><div><div>deep</div> tail<br></div></div>' ELSE '' END ||
+CASE WHEN page_id % 4 = 1 THEN '<div class="menu"><div>inner <div class="ad">ad</div> menu</div> end of menu</div><section><nav><nav>twice</nav> outer</nav>kept ' || page_id || '</section>' ELSE '' END ||
+CASE WHEN page_id % 7 = 5 THEN '<main><div>first <main>nested main</main></div><aside>beside <aside>more</aside></aside> last words</main>' ELSE '' END ||
 CASE WHEN page_id % 6 = 0 THEN '<p>advertisement sponsored advertisement sponsored advertisement sponsored</p>' ELSE '' END ||
 CASE WHEN page_id % 5 = 0 THEN '<section id="sidebar">side ' || page_id || '</section><div class="x menu">menu</div>' ELSE '' END ||
 CASE WHEN page_id % 5 = 1 THEN '<p>Price $' || page_id || ', add to cart. Published by the author.</p>' ELSE '' END ||

@@ -1,18 +1,23 @@
-"""HTML columns built from regular expressions.
+"""HTML columns built from regular expressions and balanced elements.
 
-Markup is matched flat: blocks of the same tag nested in each other do not
-balance. Patterns use no look-around and no back-references, and repeat only
-character classes, so they run in linear stack space on pages of any size.
+Patterns use no look-around and no back-references, and repeat only character
+classes, so they run in linear stack space on pages of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions.base import as_col, find_all, has, has_any, is_json, let, strip
+from pagewright.functions.elements import (
+    element_html,
+    elements,
+    first_selected,
+    selects,
+    tokens,
+    without,
+)
 from pagewright.functions.urls import base_of, resolve_against, resolve_url, url_parts
 
 COMMENT = r"<!--.*?-->"
@@ -376,91 +381,45 @@ BOILERPLATE_CLASSES = ["advertisement", "ad", "sidebar", "navigation", "menu", "
 BOILERPLATE_IDS = ["header", "footer", "nav", "sidebar"]
 MAIN_SELECTORS = ["main", "article", ".content", ".main-content", "#content", "#main"]
 BLOCK_TAGS = ["article", "main", "div"]
-# Elements in which class and id selectors look for a block.
-CONTAINER_TAGS = [
-    "div", "section", "article", "main", "aside", "nav", "header", "footer",
-    "ul", "ol", "table", "form", "p", "span",
-]
-
-
-def class_attr(names: Iterable[str]) -> str:
-    """Pattern of a class attribute that holds one of the given tokens."""
-    any_name = "(?:" + "|".join(n.replace("-", r"\-") for n in names) + ")"
-    return (
-        rf"""(?:[^>]*[\s"'])?class\s*=\s*(?:"(?:[^">]*\s)?{any_name}(?:\s[^">]*)?"|"""
-        rf"""'(?:[^'>]*\s)?{any_name}(?:\s[^'>]*)?'|{any_name}(?:[\s/]|>))"""
-    )
-
-
-def id_attr(names: Iterable[str]) -> str:
-    any_name = "(?:" + "|".join(n.replace("-", r"\-") for n in names) + ")"
-    return rf"""(?:[^>]*[\s"'])?id\s*=\s*(?:"{any_name}"|'{any_name}'|{any_name}(?:[\s/]|>))"""
-
-
-def value_attr(name: str, value: str) -> str:
-    return rf"""(?:[^>]*[\s"'])?{name}\s*=\s*["']?{value}["'\s>]"""
-
-
-def selector_pattern(selector: str) -> str:
-    """Pattern whose groups hold the content of elements matching a selector.
-
-    Knows ``tag``, ``.class``, ``#id``, ``tag.class``, ``tag[attr]`` and the
-    path form ``//tag[@attr='value']``. Every alternative adds one group.
-    """
-    sel = selector.strip()
-    if sel.startswith("//"):
-        tag, _, rest = sel[2:].partition("[@")
-        name, _, value = rest.rstrip("]").partition("=")
-        attrs = class_attr([value.strip("'\"")]) if name == "class" else value_attr(name, value.strip("'\""))
-        return inner(tag, attrs)
-    if "[" in sel:
-        tag, _, name = sel.rstrip("]").partition("[")
-        return inner(tag, rf"""(?:[^>]*[\s"'])?{name}\s*=""")
-    if "." in sel or "#" in sel:
-        mark = "." if "." in sel else "#"
-        tag, _, name = sel.partition(mark)
-        attrs = class_attr([name]) if mark == "." else id_attr([name])
-        spots = [tag] if tag else CONTAINER_TAGS + ["h1", "h2", "h3", "time", "a"]
-        return "(?is)" + "|".join(inner(t, attrs)[5:] for t in spots)
-    return inner(sel)
 
 
 def selected_html(html: Column, selector: str) -> Column:
     """Outer HTML of the first element a selector matches; null when none."""
-    hits = find_all(html, selector_pattern(selector), 0)
-    return F.get(hits, F.lit(0))
-
-
-BOILERPLATE = "(?is)" + "|".join(
-    [block(t) for t in BOILERPLATE_TAGS]
-    + [block(t, class_attr(BOILERPLATE_CLASSES)) for t in CONTAINER_TAGS]
-    + [block(t, id_attr(BOILERPLATE_IDS)) for t in CONTAINER_TAGS]
-)
-INVISIBLE = "(?is)" + "|".join([COMMENT] + [block(t) for t in ("script", "style", "noscript")])
+    return let(tokens(html), lambda toks: first_selected(toks, [selector]))
 
 
 def remove_boilerplate(html: Column | str) -> Column:
     """Text left after navigation, advertising and other frames are dropped."""
-    body = F.regexp_replace(F.regexp_replace(as_col(html), INVISIBLE, ""), BOILERPLATE, "")
+    frames = selects(
+        *BOILERPLATE_TAGS, "noscript", *[f".{c}" for c in BOILERPLATE_CLASSES], *[f"#{i}" for i in BOILERPLATE_IDS]
+    )
+    body = let(tokens(as_col(html)), lambda toks: without(toks, elements(toks, frames)))
     return strip(F.regexp_replace(text_nodes(body), r"\s+", " "))
 
 
 def main_content(html: Column | str) -> Column:
     """Text of the first main-content element, else of the page sans frames."""
     h = as_col(html)
-    clean = F.regexp_replace(h, INVISIBLE.replace("|" + block("noscript"), ""), "")
-    found = F.coalesce(*[selected_html(clean, s) for s in MAIN_SELECTORS])
-    return F.when(found.isNotNull(), text_nodes(found)).otherwise(remove_boilerplate(h))
+    found = let(tokens(h), lambda toks: first_selected(toks, MAIN_SELECTORS))
+    return let(found, lambda block: F.when(block.isNotNull(), text_nodes(block)).otherwise(remove_boilerplate(h)))
 
 
 def largest_block(html: Column | str) -> Column:
-    """Longest text among article, main and div elements; else all text."""
+    """Longest text among article, main and div elements; else all text.
+
+    Nested blocks count with all they hold; of equal ones the first wins.
+    """
     h = as_col(html)
-    blocks = F.concat(*[find_all(h, "(?is)" + block(t)) for t in BLOCK_TAGS])
-    texts = F.transform(blocks, raw_text)
-    sized = F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
-    best = F.array_max(sized)
-    return F.when(best["n"] > 0, best["t"]).otherwise(raw_text(h))
+
+    def longest(toks: Column) -> Column:
+        blocks = F.transform(
+            elements(toks, selects(*BLOCK_TAGS)),
+            lambda e: F.struct((-e["i"]).alias("i"), raw_text(element_html(toks, e)).alias("t")),
+        )
+        sized = F.transform(blocks, lambda b: F.struct(F.length(b["t"]).alias("n"), b["i"].alias("i"), b["t"].alias("t")))
+        return F.array_max(sized)
+
+    return let(let(tokens(h), longest), lambda best: F.when(best["n"] > 0, best["t"]).otherwise(raw_text(h)))
 
 
 # --- microdata ----------------------------------------------------------------

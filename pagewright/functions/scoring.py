@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions.base import as_col, find_all, flag, has, has_any, let, occurrences
+from pagewright.functions.elements import class_attr
 from pagewright.functions.html import (
     attr,
-    class_attr,
     jsonld_bodies,
     markup,
     open_tag,

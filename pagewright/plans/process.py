@@ -142,12 +142,12 @@ def custom_selectors(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     A rule lists alternatives separated by commas; the first alternative that
     matches any element wins.
     """
-    bare = H.markup("html")
-    columns = []
-    for name, rule in rules.items():
-        hits = [H.selected_html(bare, s) for s in rule.split(",")]
-        columns.append(H.text_nodes(F.coalesce(*hits)).alias(name))
-    return pages.select("url", *columns)
+    # Bound in a one-element array, the tokens are cut once for all rules.
+    def pick(toks: Column) -> Column:
+        return F.struct(*[H.text_nodes(H.first_selected(toks, rule.split(","))).alias(name) for name, rule in rules.items()])
+
+    picked = F.transform(F.array(H.tokens(H.markup("html"))), pick)
+    return pages.select("url", F.inline(picked))
 
 
 def within_limits(pages: DataFrame, cfg: CrawlConfig) -> DataFrame:
