@@ -10,14 +10,39 @@ from pagewright.functions.base import let
 ROUNDS = 8
 # Kinds in the order in which they are tried.
 KINDS = ("email", "date", "phone", "ip", "card", "iban", "ssn")
+# Lengths of account numbers by country, from the public registry.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+# Country calling codes of two digits; 1 and 7 have one, others three.
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 "
+    "60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+)
 # What a candidate of each kind looks like. Every pattern begins
-# and ends with a letter or digit that no letter or digit may touch.
-EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+# and ends with a letter or digit that no letter or digit may touch. All loops
+# over groups are bounded by the longest valid value, so the time for a text
+# follows its length, and no text needs a deep stack.
+EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,252}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
-PHONE = r"\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"
+PHONE = (
+    r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|\+[2-9][0-9]{0,2}(?:[ .()-]{0,2}[0-9]){6,11}"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
+)
 IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+# Cards in groups of four may have other such groups beside them.
+CARD_RUN = r"[0-9]{4}(?:[ -][0-9]{4}){3,11}"
+CARD = rf"{CARD_RUN}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}|[0-9]{{13,19}}"
+IBAN_GROUPS = "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(size - 4) // 4}}}"
+    + (f" [A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    for size, names in IBAN_COUNTRIES.items()
+)
+IBAN = f"{IBAN_GROUPS}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 BEFORE, AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 # Nor may a group of digits that goes on behind a dot.
@@ -61,14 +86,15 @@ def power_of_ten(count: Column) -> Column:
     return F.rpad(F.lit("1"), count + 1, F.lit("0")).cast("long")
 
 
-def permuted_digits(key: str, tweak: str, digits: Column) -> Column:
+def permuted_digits(key: str, tweak: str | Column, digits: Column) -> Column:
     """Digit string (2 to 36 long) to another of the same length."""
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
     return let(
         F.floor(F.length(digits) / 2).cast("int"),
         lambda half: let(
             feistel(
                 key,
-                F.concat(F.lit(tweak), F.length(digits).cast("string")),
+                F.concat(tweak, F.length(digits).cast("string")),
                 F.substring(digits, F.lit(1), half),
                 F.substr(digits, half + 1),
                 power_of_ten(half),
@@ -82,9 +108,9 @@ def permuted_digits(key: str, tweak: str, digits: Column) -> Column:
     )
 
 
-def in_format(shape: Column, digits: Column) -> Column:
-    """Put ``digits`` in the places of the digits of ``shape``."""
-    pieces = F.split(shape, "[0-9]")
+def in_format(shape: Column, digits: Column, places: str = "[0-9]") -> Column:
+    """Put the characters ``digits`` in the ``places`` of ``shape``."""
+    pieces = F.split(shape, places)
     return F.array_join(
         F.transform(pieces, lambda piece, i: F.concat(piece, F.substring(digits, i + 1, F.lit(1)))), ""
     )
@@ -101,9 +127,46 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
+def is_card_number(value: Column) -> Column:
+    return luhn_sum(digits_of(value)) % 10 == 0
+
+
+def four_groups(run: Column, i: Column) -> Column:
+    """Four groups of four digits of a run of groups, from group ``i`` on."""
+    return F.substring(run, 5 * i + 1, F.lit(19))
+
+
+def last_start(run: Column) -> Column:
+    return F.floor((F.length(run) + 1) / 5).cast("int") - 4
+
+
 def is_card(value: Column) -> Column:
-    digits = digits_of(value)
-    return value.rlike(f"^(?:{CARD})$") & F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+    """One card number, or a run of groups of four with one in it."""
+    starts = F.sequence(F.lit(0), F.greatest(last_start(value), F.lit(0)))
+    in_run = F.exists(starts, lambda i: is_card_number(four_groups(value, i)))
+    return value.rlike(f"^(?:{CARD})$") & F.when(value.rlike(f"^{CARD_RUN}$"), in_run).otherwise(is_card_number(value))
+
+
+def cards_in_run(key: str, run: Column) -> Column:
+    """The run with its cards replaced, from left to right; other groups stay."""
+    kind = "struct<out: string, skip: int>"
+
+    def step(state: Column, i: Column) -> Column:
+        found = (i <= last_start(run)) & is_card_number(four_groups(run, i))
+        group = F.concat(state["out"], F.substring(run, 5 * i + 1, F.lit(5)))
+        card = F.concat(state["out"], card_pseudonym(key, four_groups(run, i)), F.substring(run, 5 * i + 20, F.lit(1)))
+        return (
+            F.when(state["skip"] > 0, F.struct(state["out"].alias("out"), (state["skip"] - 1).alias("skip")))
+            .when(found, F.struct(card.alias("out"), F.lit(3).alias("skip")))
+            .otherwise(F.struct(group.alias("out"), F.lit(0).alias("skip")))
+        ).cast(kind)
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(0), last_start(run) + 3), start, step, lambda s: s["out"])
+
+
+def cards_pseudonym(key: str, value: Column) -> Column:
+    return F.when(value.rlike(f"^{CARD_RUN}$"), cards_in_run(key, value)).otherwise(card_pseudonym(key, value))
 
 
 def card_pseudonym(key: str, value: Column) -> Column:
@@ -127,13 +190,23 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
+def without_blanks(value: Column) -> Column:
+    return F.replace(value, F.lit(" "), F.lit(""))
+
+
 def is_iban(value: Column) -> Column:
-    turned = F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4))
+    plain = without_blanks(value)
+    turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
     return value.rlike(f"^(?:{IBAN})$") & (mod97(turned) == 1)
 
 
 def iban_pseudonym(key: str, value: Column) -> Column:
-    """Account digits and letters are permuted, the check digits made right."""
+    """Account digits and letters are permuted, the check digits made right;
+    blanks between groups stay where they are."""
+    return in_format(value, let(without_blanks(value), lambda plain: _iban(key, plain)), "[A-Z0-9]")
+
+
+def _iban(key: str, value: Column) -> Column:
     country, account = F.substring(value, 1, 2), F.substr(value, F.lit(5))
 
     def build(moved: Column) -> Column:
@@ -212,22 +285,60 @@ def ip_pseudonym(key: str, value: Column) -> Column:
 
 
 def phone_pseudonym(key: str, value: Column) -> Column:
-    """Area and exchange stay valid (200 to 999), the country code stays."""
-    digits = F.substr(digits_of(value), F.lit(2))
+    """The country code stays, the digits behind it are permuted.
+
+    A number in brackets without a code is one of country 1. There, numbers
+    whose area and exchange are valid (200 to 999) are permuted among
+    themselves, and so are the others.
+    """
+
+    def international(digits: Column) -> Column:
+        first_two = F.substring(digits, 1, 2)
+        size = F.when(digits.startswith("7"), 1).when(first_two.isin(*TWO_DIGIT_CODES.split()), 2).otherwise(3)
+
+        def build(n: Column) -> Column:
+            code = F.substring(digits, F.lit(1), n)
+            return F.concat(code, permuted_digits(key, F.concat(F.lit("phone+"), code, F.lit(":")), F.substr(digits, n + 1)))
+
+        return let(size, build)
+
+    def build(digits: Column) -> Column:
+        american = F.when(value.startswith("+"), F.concat(F.lit("1"), american_number(key, F.substr(digits, F.lit(2)))))
+        american = american.otherwise(american_number(key, digits))
+        return F.when(value.startswith("+") & ~digits.startswith("1"), international(digits)).otherwise(american)
+
+    return in_format(value, let(digits_of(value), build))
+
+
+def american_number(key: str, digits: Column) -> Column:
+    """Ten digits: area, exchange and line number."""
+
+    def padded(number: Column, size: int) -> Column:
+        return F.lpad(number.cast("string"), size, "0")
 
     def build(d: Column) -> Column:
-        area, rest = F.substring(d, 1, 3).cast("long") - 200, (F.substring(d, 4, 3).cast("long") - 200) * 10_000
-        return let(
-            feistel(key, F.lit("phone"), area, rest + F.substring(d, 7, 4).cast("long"), F.lit(800), F.lit(8_000_000)),
+        area, exchange = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 3).cast("long")
+        line = F.substring(d, 7, 4).cast("long")
+        valid = let(
+            feistel(key, F.lit("phone"), area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000)),
+            lambda p: F.concat(
+                padded(p["left"] + 200, 3), padded(F.floor(p["right"] / 10_000) + 200, 3), padded(p["right"] % 10_000, 4)
+            ),
+        )
+        # The others in one row: low areas with any exchange, then the rest.
+        place = F.when(area < 200, area * 1_000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        other = let(
+            feistel(key, F.lit("phone-other"), place, line, F.lit(360_000), F.lit(10_000)),
             lambda p: F.concat(
-                F.lit("1"),
-                (p["left"] + 200).cast("string"),
-                (F.floor(p["right"] / 10_000) + 200).cast("string"),
-                F.lpad((p["right"] % 10_000).cast("string"), 4, "0"),
+                F.when(p["left"] < 200_000, padded(p["left"], 6)).otherwise(
+                    F.concat(padded(F.floor((p["left"] - 200_000) / 200) + 200, 3), padded((p["left"] - 200_000) % 200, 3))
+                ),
+                padded(p["right"], 4),
             ),
         )
+        return F.when((area >= 200) & (exchange >= 200), valid).otherwise(other)
 
-    return in_format(value, let(digits, build))
+    return let(digits, build)
 
 
 def is_ssn(value: Column) -> Column:
@@ -257,15 +368,26 @@ def ssn_pseudonym(key: str, value: Column) -> Column:
     )
 
 
+def date_in(value: Column, day: int, month: int) -> Column:
+    """The date of a value with its year last, null if there is no such day."""
+    iso = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, month, 2), F.substring(value, day, 2))
+    return F.try_to_date(iso, "yyyy-MM-dd")
+
+
+def is_month_first(value: Column) -> Column:
+    return ~value.contains("-") & date_in(value, 1, 4).isNull()
+
+
 def day_of(value: Column) -> Column:
     """Days since FIRST_DAY of a date in any of its formats, null outside.
 
-    The day comes first where numbers are separated by dots or slashes.
+    Where numbers are separated by dots or slashes the day comes first, or the
+    month if only that is a date.
     """
-    iso = F.when(value.contains("-"), value).otherwise(
-        F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
+    date = F.when(value.contains("-"), F.try_to_date(value, "yyyy-MM-dd")).otherwise(
+        F.coalesce(date_in(value, 1, 4), date_in(value, 4, 1))
     )
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
     return F.when(value.rlike(f"^(?:{DATE})$") & day.between(0, DAY_ROWS * DAY_COLUMNS - 1), day)
 
 
@@ -275,8 +397,11 @@ def date_pseudonym(key: str, value: Column) -> Column:
     def build(pair: Column) -> Column:
         day = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["left"] * DAY_COLUMNS + pair["right"]).cast("int"))
         mark = F.substring(value, 3, 1)
-        return F.when(value.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(
-            F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy"))
+        dd, mm, yyyy = (F.date_format(day, part) for part in ("dd", "MM", "yyyy"))
+        return (
+            F.when(value.contains("-"), F.date_format(day, "yyyy-MM-dd"))
+            .when(is_month_first(value), F.concat(mm, mark, dd, mark, yyyy))
+            .otherwise(F.concat(dd, mark, mm, mark, yyyy))
         )
 
     def move(day: Column) -> Column:
@@ -294,7 +419,7 @@ def kind_of(value: Column) -> Column:
     """Kind of a candidate that passes its kind's test, else null."""
     return (
         F.when(value.contains("@"), F.lit("email"))
-        .when(value.startswith("+"), F.lit("phone"))
+        .when(value.startswith("+") | value.startswith("("), F.lit("phone"))
         .when(day_of(value).isNotNull(), F.lit("date"))
         .when(is_ip(value), F.lit("ip"))
         .when(is_ssn(value), F.lit("ssn"))
@@ -309,7 +434,7 @@ def pseudonym(key: str, kind: Column, value: Column) -> Column:
         "date": date_pseudonym,
         "phone": phone_pseudonym,
         "ip": ip_pseudonym,
-        "card": card_pseudonym,
+        "card": cards_pseudonym,
         "iban": iban_pseudonym,
         "ssn": ssn_pseudonym,
     }

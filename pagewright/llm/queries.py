@@ -173,7 +173,7 @@ LINES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i - 1 AS line_no, lower(lines[i]) AS line FROM (SELECT doc_id, lines, unnest(range(1, n_lines + 1)) AS i FROM d)),
 w AS (SELECT doc_id, line_no, list_distinct(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: hash(t))) AS words FROM l),
-s AS (SELECT list_sort(words) AS words, min((doc_id, line_no)) AS first FROM w WHERE len(words) >= 5 GROUP BY 1),
+s AS (SELECT list_sort(words) AS words, min((doc_id, line_no)) AS first FROM w WHERE len(words) >= 1 GROUP BY 1),
 x AS (SELECT a.words FROM s a JOIN s b ON a.first > b.first AND 5 * len(a.words) >= 4 * len(b.words) AND 5 * len(b.words) >= 4 * len(a.words)
       WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (len(a.words) + len(b.words)) GROUP BY a.words),
 r AS (SELECT w.doc_id, list_sort(list(w.line_no)) AS removed
