@@ -136,26 +136,31 @@ BANDS = " UNION ALL ".join(
     + " AS bucket FROM sg"
     for b in range(D.BANDS)
 )
+EQUAL = f"({' + '.join(f'(x.m{i} = y.m{i})::INT' for i in range(FP.PERMUTATIONS))}) / 128.0::DOUBLE"
 LSH = f"""{MINHASH}, sg AS (SELECT min(doc_id) AS doc_id, * EXCLUDE (doc_id) FROM mh GROUP BY ALL), bk AS ({BANDS}),
- hub AS (SELECT *, min(doc_id) OVER (PARTITION BY band, bucket) AS id_a FROM bk)"""
+ c AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b FROM bk a JOIN bk b ON a.band = b.band AND a.bucket = b.bucket AND a.doc_id < b.doc_id),
+ jv AS (SELECT id_a, id_b, {EQUAL} AS jaccard FROM c JOIN mh x ON x.doc_id = c.id_a JOIN mh y ON y.doc_id = c.id_b)"""
 
 
-@check("minhash_lsh_pairs", f"WITH {LSH} SELECT DISTINCT id_a, doc_id AS id_b FROM hub WHERE id_a <> doc_id")
+@check("minhash_lsh_pairs", f"WITH {LSH} SELECT id_a, id_b FROM jv WHERE jaccard >= 0.8")
 def minhash_lsh_pairs(spark, d):
     return D.minhash_lsh_pairs(D.minhash(docs(spark, d), "doc_id"), "doc_id")
 
 
-@check(
-    "jaccard_verify",
-    f"""WITH {LSH}, c AS (SELECT DISTINCT id_a, doc_id AS id_b FROM hub WHERE id_a <> doc_id)
- SELECT id_a, id_b, ({' + '.join(f'(x.m{i} = y.m{i})::INT' for i in range(FP.PERMUTATIONS))}) / 128.0::DOUBLE AS jaccard
- FROM c JOIN mh x ON x.doc_id = c.id_a JOIN mh y ON y.doc_id = c.id_b""",
-)
+@check("jaccard_verify", f"WITH {LSH} SELECT * FROM jv WHERE jaccard >= 0.8")
 def jaccard_verify(spark, d):
     sig = D.minhash(docs(spark, d), "doc_id")
     return D.jaccard_verify(D.minhash_lsh_pairs(sig, "doc_id"), sig, "doc_id")
 
 
+@check(
+    "signature_groups",
+    f"WITH {MINHASH} SELECT doc_id, min(doc_id) OVER w AS first, count(*) OVER w AS copies FROM mh WINDOW w AS (PARTITION BY {ALL_M})",
+)
+def signature_groups(spark, d):
+    return D.signature_groups(D.minhash(docs(spark, d), "doc_id"), "doc_id")
+
+
 # Kept rows are carried along the documents in order, one at a time.
 BAND_TEXTS = ", ".join(
     f"'{b}:' || array_to_string(m[{b * D.BAND_ROWS + 1}:{(b + 1) * D.BAND_ROWS}], ',')" for b in range(D.BANDS)
