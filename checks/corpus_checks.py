@@ -275,36 +275,25 @@ def pagerank(spark, d):
     return G.pagerank(*graph(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
-# The graph of page hosts and their parent domains falls into several components.
-HOST_EDGES = """SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS source,
- regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '[^.]*$') || page_id % 7 AS target FROM pages"""
-HOST_GRAPH = f"""e AS ({HOST_EDGES}), n AS (SELECT source AS url FROM e UNION SELECT target FROM e),
- b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
+# Weak components of the page link graph: every node takes the least name it can reach.
+COMPONENTS = f"""{GRAPH}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
  reach AS (SELECT url, url AS c FROM n UNION SELECT reach.url, b.y FROM reach JOIN b ON b.x = reach.c),
  comp AS (SELECT url, min(c) AS component FROM reach GROUP BY url)"""
+RECURSIVE = E.replace("WITH p", "WITH RECURSIVE p", 1)
 
 
-def host_graph(spark, d):
-    edges = pages(spark, d).selectExpr(
-        "regexp_extract(url, '://([^/?#]*)', 1) AS source",
-        "regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '[^.]*$', 0) || page_id % 7 AS target",
-    ).distinct()
-    nodes = edges.select(F.col("source").alias("url")).union(edges.select("target")).distinct()
-    return nodes, edges
-
-
-@check("connected_components", f"WITH RECURSIVE {HOST_GRAPH} SELECT url, component FROM comp")
+@check("connected_components", f"{RECURSIVE}, {COMPONENTS} SELECT url, component FROM comp")
 def connected_components(spark, d):
-    return G.connected_components(*host_graph(spark, d))
+    return G.connected_components(*graph(spark, d))
 
 
 @check(
     "graph_statistics",
-    f"""WITH RECURSIVE {HOST_GRAPH}, k AS (SELECT (SELECT count(*) FROM n) AS nn, (SELECT count(*) FROM e) AS ee, (SELECT count(DISTINCT component) FROM comp) AS cc)
+    f"""{RECURSIVE}, {COMPONENTS}, k AS (SELECT (SELECT count(*) FROM n) AS nn, (SELECT count(*) FROM e) AS ee, (SELECT count(DISTINCT component) FROM comp) AS cc)
  SELECT nn AS nodes, ee AS edges, round(ee / (nn * (nn - 1))::DOUBLE, 9) AS density, cc = 1 AS is_connected, cc AS components FROM k""",
 )
 def graph_statistics(spark, d):
-    return G.graph_statistics(*host_graph(spark, d)).withColumn("density", F.round("density", 9))
+    return G.graph_statistics(*graph(spark, d)).withColumn("density", F.round("density", 9))
 
 
 def json_line(*fields: tuple[str, str]) -> str:
@@ -359,50 +348,40 @@ def seed_frontier(spark, d):
     return FR.seed_frontier(pages(spark, d))
 
 
-# Documents as a link table: each source links to the documents it lists, chained by id.
-CHAIN = """SELECT 'd' || doc_id AS source, 'd' || (doc_id * 2 + 1) AS target FROM documents
- UNION ALL SELECT 'd' || doc_id, 'd' || (doc_id * 2 + 2) FROM documents
- UNION ALL SELECT 'd' || doc_id, 'd' || (doc_id - doc_id % 10) FROM documents"""
+HOST = "regexp_extract({}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1)"
+SCOPED = f"""SELECT source, target FROM ({LINKS}) WHERE {follow_sql(HOST.format('source'), HOST.format('target'))}"""
 
 
-def chain(spark, d):
-    x = docs(spark, d)
-    return (
-        x.selectExpr("'d' || doc_id AS source", "'d' || (doc_id * 2 + 1) AS target")
-        .union(x.selectExpr("'d' || doc_id", "'d' || (doc_id * 2 + 2)"))
-        .union(x.selectExpr("'d' || doc_id", "'d' || (doc_id - doc_id % 10)"))
-    )
+# The first page of every host is a seed; waves follow the in-scope links of pages.
+SEED_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+SEEDS = f"SELECT min(url) AS url FROM pages GROUP BY {SEED_HOST}"
+SCOPED_LINKS = f"l AS (SELECT DISTINCT source, target FROM ({SCOPED}))"
 
 
-# Start at the first document of every language.
-STARTS = "SELECT DISTINCT 'd' || min(doc_id) OVER (PARTITION BY lang) AS url FROM documents"
+def scoped_links(spark, d):
+    return FR.scope_filter(L.extract_links(enriched(spark, d)).select("source", "target"))
 
 
-def starts(spark, d):
-    return docs(spark, d).groupBy("lang").agg(F.min("doc_id").alias("m")).selectExpr("'d' || m AS url")
+def host_seeds(spark, d):
+    return pages(spark, d).groupBy(F.expr(SEED_HOST).alias("host")).agg(F.min("url").alias("url")).select("url")
 
 
 @check(
     "crawl_waves",
-    f"""WITH RECURSIVE l AS ({CHAIN}), r AS (SELECT url, 0 AS depth FROM ({STARTS})
- UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 6)
+    f"""{RECURSIVE}, {SCOPED_LINKS}, r AS (SELECT url, 0 AS depth FROM ({SEEDS})
+ UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 3)
  SELECT url, min(depth) AS depth FROM r GROUP BY url""",
 )
 def crawl_waves(spark, d):
-    return FR.crawl_waves(chain(spark, d), starts(spark, d), max_depth=6)
+    return FR.crawl_waves(scoped_links(spark, d), host_seeds(spark, d), max_depth=3)
 
 
 @check(
     "crawl_waves_exhaustive",
-    f"""WITH RECURSIVE l AS ({CHAIN}), r AS (SELECT url FROM ({STARTS}) UNION SELECT l.target FROM r JOIN l ON l.source = r.url)
- SELECT url FROM r""",
+    f"{RECURSIVE}, {SCOPED_LINKS}, r AS (SELECT url FROM ({SEEDS}) UNION SELECT l.target FROM r JOIN l ON l.source = r.url) SELECT url FROM r",
 )
 def crawl_waves_exhaustive(spark, d):
-    return FR.crawl_waves(chain(spark, d), starts(spark, d)).select("url")
-
-
-HOST = "regexp_extract({}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1)"
-SCOPED = f"""SELECT source, target FROM ({LINKS}) WHERE {follow_sql(HOST.format('source'), HOST.format('target'))}"""
+    return FR.crawl_waves(scoped_links(spark, d), host_seeds(spark, d)).select("url")
 
 
 @check("scope_filter", f"{E} {SCOPED}")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.base import as_col, find_all
 from pagewright.operators.skew import broadcast_if_small
+from pagewright.session import cut_lineage
 
 GRAM = 3
 DEFAULT_LANGUAGE = "en"
-# Bound on the languages of one profile table, whose names are collected.
-MAX_LANGUAGES = 500
+# Profile entries (gram and language) up to which profiles are broadcast: some
+# forty bytes each.
+BROADCAST_ENTRIES = 2_000_000
 
 
 def grams(text: Column | str, n: int = GRAM) -> Column:
@@ -42,56 +44,43 @@ def language_profiles(corpus: DataFrame, lang: str = "lang", text: str = "text")
 
 
 def language_scores(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Mean log probability per row and language.
+    """Rows (key, langs): per language the loss, the negative mean log probability.
 
     A gram adds its gain over an unseen gram, so unknown grams join nothing.
-    Profiles are folded to one row per gram with a column per language; small
-    enough, they are broadcast, and a row's grams are summed before anything
-    is shuffled. The list of languages is the only thing collected.
+    Profiles are folded to one row per gram with its gains by language; while
+    their entries are few they are broadcast, and a row's grams are summed
+    before anything is shuffled. No list of languages is collected or capped.
     """
-    floors = profiles.groupBy("lang").agg(F.max("floor").alias("floor")).orderBy("lang").limit(MAX_LANGUAGES + 1)
-    languages = floors.collect()
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the profiles")
     per_gram = profiles.groupBy("gram").agg(
-        *[
-            F.sum(F.when(F.col("lang") == row["lang"], F.col("logp") - F.col("floor")).otherwise(0.0)).alias(f"g{i}")
-            for i, row in enumerate(languages)
-        ]
+        F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("gain"))).alias("gains")
     )
+    per_gram = cut_lineage(per_gram)
+    entries = per_gram.agg(F.sum(F.size("gains"))).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        per_gram = F.broadcast(per_gram)
     split = df.select(key, grams(text).alias("_grams")).select(
         key, F.size("_grams").alias("total"), F.explode("_grams").alias("gram")
     )
-    sums = (
-        split.join(broadcast_if_small(per_gram, 500_000), "gram", "left")
-        .groupBy(key)
-        .agg(
-            F.first("total").alias("total"),
-            *[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(languages))],
-        )
+    gained = (
+        split.join(per_gram, "gram", "left")
+        .select(key, "total", F.explode_outer("gains").alias("g"))
+        .groupBy(key, "total", F.col("g.lang").alias("lang"))
+        .agg(F.sum("g.gain").alias("gain"))
+        # One small row per language a text shares a gram with.
+        .groupBy(key, "total")
+        .agg(F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "gain")))).alias("gains"))
     )
-    scored = F.array(
-        *[
-            F.struct(
-                F.lit(row["lang"]).alias("lang"),
-                (F.lit(row["floor"]) + F.coalesce(f"g{i}", F.lit(0.0)) / F.col("total")).alias("score"),
-            )
-            for i, row in enumerate(languages)
-        ]
-    )
-    return sums.select(key, F.inline(scored))
-
-
-def _candidates(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row the list of (score, lang), best first after sorting."""
-    return language_scores(df, profiles, key, text).groupBy(key).agg(
-        F.collect_list(F.struct((-F.col("score")).alias("loss"), "lang")).alias("langs")
+    floors = profiles.groupBy("lang").agg(F.max("floor").alias("floor")).agg(F.collect_list(F.struct("lang", "floor")))
+    gain = lambda f: F.coalesce(F.try_element_at("gains", f["lang"]), F.lit(0.0))
+    langs = F.transform(
+        F.col("floors"), lambda f: F.struct((-(f["floor"] + gain(f) / F.col("total"))).alias("loss"), f["lang"].alias("lang"))
     )
+    return gained.withColumn("floors", floors.scalar()).select(key, langs.alias("langs"))
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Best language per row; ``en`` when the text gives nothing to judge."""
-    best = _candidates(df, profiles, key, text).select(key, F.array_min("langs")["lang"].alias("language"))
+    best = language_scores(df, profiles, key, text).select(key, F.array_min("langs")["lang"].alias("language"))
     return df.join(best, key, "left").withColumn(
         "language", F.coalesce("language", F.lit(DEFAULT_LANGUAGE))
     )
@@ -101,7 +90,7 @@ def detect_languages(
     df: DataFrame, profiles: DataFrame, key: str, text: str = "text", sharpness: float = 20.0
 ) -> DataFrame:
     """All candidates with a probability: a softmax of the scores per row."""
-    found = _candidates(df, profiles, key, text)
+    found = language_scores(df, profiles, key, text)
     least = F.array_min("langs")["loss"]
     weights = F.transform(
         "langs",
