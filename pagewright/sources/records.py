@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.base import as_col, is_json, strip
 from pagewright.functions.pages import content_route, header
 from pagewright.operators.skew import top_per_group
+from pagewright.session import cut_lineage
 
 # Leading bytes of image formats, in hex.
 IMAGE_MAGIC = [("89504E47", "PNG"), ("FFD8FF", "JPEG"), ("47494638", "GIF"), ("424D", "BMP"), ("52494646", "WEBP")]
@@ -57,8 +60,68 @@ def vector_table(records: DataFrame, vectors: DataFrame, key: str = "url", embed
     )
 
 
+# Shards by space: at most so many centres, each drawn from the vectors by hash.
+MOST_CENTRES = 512
+# Room for rounding in sums of squares, as a share of them.
+ROUNDING = 1e-9
+
+
+def _place(centres: np.ndarray):
+    """Centre next to each vector, and the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+                distance = _distances(points, centres)
+                near = distance.argmin(axis=1)
+                yield batch.assign(centre=near.astype(np.int32), off=distance[np.arange(len(points)), near])
+
+    return run
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    out = np.empty((len(points), len(centres)))
+    for i, centre in enumerate(centres):
+        out[:, i] = np.sqrt(np.square(points - centre).sum(axis=1))
+    return out
+
+
+def _route(centres: np.ndarray, radius: np.ndarray, counts: np.ndarray, k: int, home: bool):
+    """Shards each query has to search: its own, or all others within its bound.
+
+    No vector of a shard is nearer than the distance to its centre less its
+    radius, and none farther than that plus the radius. The k-th nearest is
+    therefore no farther than the least such sum that k vectors lie within.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+            distance = _distances(points, centres)
+            own = distance.argmin(axis=1)
+            if home:
+                yield batch.drop(columns=["bound"]).assign(centre=own.astype(np.int32), bound=np.inf)
+                continue
+            far = distance + radius
+            order = far.argsort(axis=1)
+            within = np.cumsum(counts[order], axis=1) >= k
+            enough = np.where(within.any(axis=1), within.argmax(axis=1), -1)
+            sums = np.where(enough < 0, np.inf, far[np.arange(len(far)), order[np.arange(len(far)), enough]])
+            bound = np.minimum(sums, np.sqrt(batch["bound"].fillna(np.inf).to_numpy())) * (1 + ROUNDING)
+            needed = (np.maximum(distance - radius, 0) * (1 - ROUNDING) <= bound[:, None]) & (counts > 0)
+            needed[np.arange(len(own)), own] = False
+            row, centre = np.nonzero(needed)
+            out = batch.drop(columns=["bound"]).iloc[row]
+            yield out.assign(centre=centre.astype(np.int32), bound=bound[row])
+
+    return run
+
+
 def _nearest(k: int, key: str):
-    """The k nearest rows of a shard for each query of a block."""
+    """The k nearest rows of a shard for each query that is sent to it."""
 
     def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": [], key: [], "distance": []}).astype({"query_id": "int64", key: "int64"})]
@@ -73,36 +136,86 @@ def _nearest(k: int, key: str):
     return run
 
 
+def space_shards(vectors: DataFrame, key: str, shard_rows: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Vectors with their shard, the centres, and (centre, radius, rows, pieces).
+
+    A vector belongs to the nearest of at most MOST_CENTRES centres, a sample
+    drawn by hash that decides what is skipped, never what is found. A shard
+    of more than ``shard_rows`` vectors is cut into pieces.
+    """
+    wanted = max(1, min(MOST_CENTRES, -(-vectors.count() // shard_rows) * 4))
+    drawn = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(wanted).collect()
+    centres = np.unique(np.array([r["embedding"] for r in drawn], dtype=np.float64), axis=0)
+    fields = ", ".join(f"{name} {dtype}" for name, dtype in vectors.select(key, "embedding").dtypes)
+    placed = cut_lineage(vectors.select(key, "embedding").mapInPandas(_place(centres), f"{fields}, centre int, off double"))
+    sizes = placed.groupBy("centre").agg(F.max("off").alias("radius"), F.count("*").alias("rows"))
+    return placed, centres, sizes.withColumn("pieces", F.ceil(F.col("rows") / shard_rows).cast("int"))
+
+
+def routed_queries(
+    asked: DataFrame, centres: np.ndarray, sizes: DataFrame, k: int, home: bool
+) -> DataFrame:
+    """Rows (query_id, embedding, bound, centre): a row per shard to search."""
+    radius, counts = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
+    # One row per centre, of which there are MOST_CENTRES at most.
+    for row in sizes.collect():
+        radius[row["centre"]], counts[row["centre"]] = row["radius"], row["rows"]
+    dtype = dict(asked.dtypes)["embedding"]
+    return asked.mapInPandas(
+        _route(centres, radius, counts, k, home), f"query_id long, embedding {dtype}, centre int, bound double"
+    )
+
+
 def knn_l2(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
     key: str = "vec_id",
     block_rows: int = 4_096,
-    shard_rows: int = 8_192,
+    shard_rows: int = 2_048,
 ) -> DataFrame:
     """Exact k nearest vectors per query by squared L2 distance.
 
-    Queries and vectors are dealt into blocks and shards of about these sizes;
-    every pair of a block and a shard is one group, held by one task, which
-    passes on k rows per query. Neither side goes through the driver. ``key``
-    is a number.
+    Vectors lie in shards by space. Every query first searches the shard of its
+    centre; the k-th distance found there rules out all shards that lie
+    farther away, by the triangle inequality. Only shards that are left are
+    sent to the query's block and searched. Blocks and pieces of shards are of
+    bounded size, and a group is held by one task. ``key`` is a number.
     """
-    blocks, shards = max(1, -(-queries.count() // block_rows)), max(1, -(-vectors.count() // shard_rows))
-    asked = queries.select(
-        F.col(key).alias("query_id"),
-        F.col("embedding").alias("embedding"),
-        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-    ).toDF("query_id", "embedding", "block", "shard")
-    held = vectors.select(
-        key,
-        "embedding",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64(key, F.lit(2)), F.lit(shards)).alias("shard"),
-    ).toDF(key, "embedding", "block", "shard")
-    pairs = asked.groupBy("block", "shard").cogroup(held.groupBy("block", "shard"))
-    scored = pairs.applyInPandas(_nearest(k, key), f"query_id long, {key} long, distance double")
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, distance double, rank int")
+    placed, centres, sizes = space_shards(vectors, key, shard_rows)
+    sizes = cut_lineage(sizes)
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), "embedding", F.lit(None).cast("double").alias("bound"))
+    pieces = sizes.select("centre", "pieces")
+
+    def search(routed: DataFrame) -> DataFrame:
+        # Queries of one shard are cut into blocks; vectors go to each block once.
+        block_count = routed.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        wanted = pieces.join(block_count, "centre")
+        sent = routed.join(F.broadcast(wanted), "centre").select(
+            "query_id",
+            "embedding",
+            "centre",
+            F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
+        )
+        held = placed.join(F.broadcast(wanted), "centre").select(
+            key,
+            "embedding",
+            "centre",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"),
+            F.pmod(F.xxhash64(key), F.col("pieces")).cast("int").alias("piece"),
+        )
+        where = ["centre", "block", "piece"]
+        pairs = sent.groupBy(*where).cogroup(held.groupBy(*where))
+        return pairs.applyInPandas(_nearest(k, key), f"query_id long, {key} long, distance double")
+
+    near = cut_lineage(search(routed_queries(asked, centres, sizes, k, home=True)))
+    first = top_per_group(near, ["query_id"], [F.col("distance"), F.col(key)], k)
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+    others = routed_queries(asked.drop("bound").join(bounds, "query_id", "left"), centres, sizes, k, home=False)
+    scored = near.unionByName(search(cut_lineage(others)))
     return top_per_group(scored, ["query_id"], [F.col("distance"), F.col(key)], k, rank="rank")
 
 

@@ -162,6 +162,45 @@ def test_knn_in_query_chunks(spark):
     assert len(got) == 120 and (0, 0) in got and (0, 1) in got and (30, 29) in got
 
 
+def clustered(spark, per=100):
+    """Twenty far clusters of vectors, and a few exact copies."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 50, (20, 8))
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.normal(0, 1, 8)]) for i in range(20 * per)]
+    rows += [(len(rows) + i, rows[0][1]) for i in range(15)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def test_knn_equals_brute_force(spark):
+    import numpy as np
+
+    rows, vecs = clustered(spark, 20)
+    points = np.array([r.embedding for r in vecs.orderBy("vec_id").collect()], dtype=np.float64)
+    got = {}
+    for r in records.knn_l2(vecs, vecs.where("vec_id % 3 = 0"), 6, block_rows=11, shard_rows=16).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, round(r.distance, 6))
+    assert len(got) == -(-len(rows) // 3)
+    for query, found in got.items():
+        distance = np.square(points - points[query]).sum(axis=1)
+        best = np.lexsort((np.arange(len(points)), distance))[:6]
+        assert [found[i + 1] for i in range(6)] == [(int(b), round(float(distance[b]), 6)) for b in best]
+    few = records.knn_l2(vecs.limit(3), vecs.limit(3), 10).collect()
+    assert len(few) == 9
+    assert records.knn_l2(vecs.limit(0), vecs, 3).count() == 0
+
+
+def test_knn_sends_few_shards(spark):
+    """A query goes to its own shard and to those its bound reaches, not to all."""
+    rows, vecs = clustered(spark)
+    placed, centres, sizes = records.space_shards(vecs, "vec_id", 50)
+    assert len(centres) > 60
+    asked = vecs.selectExpr("vec_id AS query_id", "embedding", "CAST(60 AS DOUBLE) AS bound")
+    others = records.routed_queries(asked, centres, sizes, 5, home=False).count()
+    assert others < 0.15 * len(rows) * (len(centres) - 1)
+
+
 def test_collect_text_parts(spark):
     df = spark.range(25).select(F.lit("g").alias("g"), "id", F.concat(F.lit(" t"), "id").alias("text"))
     parts = {r.part: r.text for r in records.collect_text(df, "g", "id", part_span=10).collect()}
