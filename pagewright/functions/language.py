@@ -34,6 +34,55 @@ SINGLE_BYTE = {
 }
 
 
+# Charsets of one or two bytes, with their first and second bytes and
+# their header spellings. Their tables are made from Python's own codecs.
+DOUBLE_BYTE = {
+    "cp932": (r"\x81-\x9f\xe0-\xfc", r"\x40-\x7e\x80-\xfc", ("shift_jis", "shift-jis", "sjis", "x-sjis", "windows-31j", "cp932")),
+    "cp949": (r"\x81-\xfe", r"\x41-\x5a\x61-\x7a\x81-\xfe", ("euc-kr", "ks_c_5601-1987", "windows-949", "cp949")),
+    "gbk": (r"\x81-\xfe", r"\x40-\x7e\x80-\xfe", ("gbk", "gb2312", "cp936", "x-gbk")),
+    "big5": (r"\x81-\xfe", r"\x40-\x7e\xa1-\xfe", ("big5", "big-5", "cp950")),
+    "euc_jp": (r"\x8e\xa1-\xfe", r"\xa1-\xfe", ("euc-jp", "eucjp", "x-euc-jp")),
+}
+FIRST_LEAD, FIRST_TRAIL, TRAILS = 0x81, 0x40, 0xFF - 0x40
+REPLACEMENT, CELL = "\ufffd", "\x01"
+
+
+def _cells(charset: str, codes: list[bytes]) -> Column:
+    """Array of the character of each code; a code without one is replaced."""
+
+    def char(code: bytes) -> str:
+        text = code.decode(charset, errors="replace")
+        return text if len(text) == 1 and text != CELL else REPLACEMENT
+
+    # Split from one literal, the array is made once, when the plan is.
+    return F.split(F.lit(CELL.join(map(char, codes))), CELL, -1)
+
+
+def decode_double_byte(latin: Column, charset: str) -> Column:
+    """Text of bytes in a charset of one or two bytes, given as Latin-1 characters.
+
+    Every pair of a first and a second byte is one place in a table. Pairs and
+    single bytes that the charset leaves open become the replacement character.
+    """
+    lead, trail, _ = DOUBLE_BYTE[charset]
+    singles = _cells(charset, [bytes([b]) for b in range(256)])
+    pairs = _cells(
+        charset, [bytes([a, b]) for a in range(FIRST_LEAD, 256) for b in range(FIRST_TRAIL, FIRST_TRAIL + TRAILS)]
+    )
+    parts = find_all(latin, rf"(?s)[\x00-\x7f]+|[{lead}][{trail}]|.")
+
+    def char(part: Column) -> Column:
+        first, second = F.ascii(part), F.ascii(F.substring(part, 2, 1))
+        place = (first - FIRST_LEAD) * TRAILS + second - FIRST_TRAIL
+        return (
+            F.when(first < 128, part)
+            .when(F.length(part) == 2, F.get(pairs, place))
+            .otherwise(F.get(singles, first))
+        )
+
+    return F.array_join(F.transform(parts, char), "")
+
+
 def upper_half(charset: str) -> tuple[str, str]:
     """Latin-1 characters and what ``charset`` has in their places.
 
@@ -73,6 +122,7 @@ def header_charset(headers: Column | str) -> Column:
 def is_decodable(headers: Column | str) -> Column:
     """Whether no charset is declared or the decoder knows the declared one."""
     known = [*CHARSETS, *(name for names in SINGLE_BYTE.values() for name in names)]
+    known += [name for _, _, names in DOUBLE_BYTE.values() for name in names]
     declared = header_charset(headers)
     return (declared == "") | declared.isin(*known)
 
@@ -94,6 +144,8 @@ def decode_content(content: Column | str, headers: Column | str) -> Column:
     arms.append((declared.isin(*[n for n, target in CHARSETS.items() if target == "US-ASCII"]) & ~valid, latin))
     for charset, names in SINGLE_BYTE.items():
         arms.append((declared.isin(*names), F.translate(latin, *upper_half(charset))))
+    for charset, (_, _, names) in DOUBLE_BYTE.items():
+        arms.append((declared.isin(*names), decode_double_byte(latin, charset)))
     arms += [(valid, F.decode(data, "UTF-8")), (is_decodable(headers), latin)]
     result = F.when(*arms[0])
     for test, text in arms[1:]:

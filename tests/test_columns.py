@@ -209,7 +209,7 @@ def test_declared_charsets(one, charset, name, text):
 
 
 def test_unknown_charset_is_not_guessed(one):
-    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=shift_jis"))
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=iso-2022-jp"))
     assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode("shift_jis"))) is None
     assert one(lambda b: LG.decode_content(b, headers), bytearray("漢字".encode())) == "漢字"
     assert one(lambda b: LG.is_decodable(headers), bytearray(b"")) is False
@@ -225,3 +225,37 @@ def test_entities_of_hostile_text(one):
         assert one(lambda t: F.size(E.extract_emails(t)), text) == mails
     tricky = "é.x@a.org éa.b@c.org x@y.org-z@w.org ..m@n.org"
     assert one(lambda t: E.emails_in(t), tricky) == [".x@a.org", ".b@c.org", "x@y.org", "-z@w.org", "m@n.org"]
+
+
+DOUBLE_BYTE_TEXTS = {
+    "Shift_JIS": ("cp932", "日本語のテキスト、ｶﾅ and ASCII\\~ 表ソ能"),
+    "EUC-KR": ("cp949", "한국어 텍스트와 ASCII 똠방각하"),
+    "GBK": ("gbk", "中文文本，繁體字 and ASCII 镕"),
+    "big5": ("big5", "繁體中文測試 and ASCII 功蓋"),
+    "EUC-JP": ("euc_jp", "日本語のテキスト、ｶﾅ and ASCII"),
+}
+
+
+@pytest.mark.parametrize("name", DOUBLE_BYTE_TEXTS)
+def test_double_byte_charsets(one, name):
+    codec, text = DOUBLE_BYTE_TEXTS[name]
+    import random
+
+    rng = random.Random(name)
+    known = []
+    for a in range(0x81, 0xFF):
+        for b in range(0x40, 0xFF):
+            try:
+                char = bytes([a, b]).decode(codec)
+            except UnicodeDecodeError:
+                continue
+            if len(char) == 1 and char.encode(codec, "ignore") == bytes([a, b]):
+                known.append(char)
+    assert len(known) > 6_000
+    text += "".join(c + rng.choice(["", "a", "\n", "@"]) for c in rng.sample(known, 3_000))
+    data = bytearray(text.encode(codec))
+    headers = {"Content-Type": f"text/html; charset={name}"}
+    got = one(lambda c, t: LG.decode_content(c, F.create_map(F.lit("Content-Type"), t)), data, headers["Content-Type"])
+    assert got == text
+    broken = one(lambda c, t: LG.decode_content(c, F.create_map(F.lit("Content-Type"), t)), bytearray(b"ok \xff\xff!"), headers["Content-Type"])
+    assert broken.startswith("ok ") and broken.endswith("!") and "\ufffd" in broken
