@@ -258,4 +258,5 @@ def test_double_byte_charsets(one, name):
     got = one(lambda c, t: LG.decode_content(c, F.create_map(F.lit("Content-Type"), t)), data, headers["Content-Type"])
     assert got == text
     broken = one(lambda c, t: LG.decode_content(c, F.create_map(F.lit("Content-Type"), t)), bytearray(b"ok \xff\xff!"), headers["Content-Type"])
-    assert broken.startswith("ok ") and broken.endswith("!") and "\ufffd" in broken
+    # One byte of these is open in all but the first, which has a character of its own there.
+    assert broken == ("ok \uf8f3\uf8f3!" if name == "Shift_JIS" else "ok \ufffd\ufffd!")
