@@ -19,6 +19,7 @@ from pagewright.operators import graph as G
 from pagewright.operators import links as L
 from pagewright.operators import similarity as D
 from pagewright.plans import classifier, plugins, process, steps
+from pagewright.session import cut_lineage
 from pagewright.sources import readers, records, state, writers
 from pagewright.streaming import streams as R
 
@@ -663,6 +664,25 @@ def crawl_state(spark, d):
     )
 
 
+@check(
+    "crawl_resume",
+    f"""{RECURSIVE}, {SCOPED_LINKS}, r AS (SELECT url, 0 AS depth FROM ({SEEDS})
+ UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 3)
+ SELECT url, min(depth) AS depth FROM r GROUP BY url""",
+)
+def crawl_resume(spark, d):
+    """A crawl stopped after its first wave and taken up from its stored state."""
+    links, path = cut_lineage(scoped_links(spark, d).distinct()), scratch(spark, "resume")
+    begun = FR.crawl_waves(links, host_seeds(spark, d), max_depth=1, checkpoint_links=False)
+    n = begun.agg(F.count_if(F.col("depth") == 0).alias("processed"), F.count("*").alias("success"), F.lit(0).alias("errors"))
+    pending = begun.where("depth = 1").withColumn("priority", F.lit(0.5))
+    state.save_state(path, n, begun.where("depth = 0"), pending)
+    frontier, visited = state.resume_frontier(spark, path, host_seeds(spark, d))
+    rest = FR.crawl_waves(links, frontier, max_depth=2, checkpoint_links=False).withColumn("depth", F.col("depth") + 1)
+    both = visited.select("url", F.lit(0).alias("depth")).unionByName(rest)
+    return both.groupBy("url").agg(F.min("depth").alias("depth"))
+
+
 # --- plugins, steps, learning -------------------------------------------------------------
 
 
