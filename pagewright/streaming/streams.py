@@ -12,6 +12,16 @@ from pagewright.functions.urls import domain_of, url_hash
 from pagewright.operators.skew import running_total, top_per_group
 from pagewright.sources.records import upsert_latest
 from pagewright.sources.state import list_versions
+from pagewright.streaming.merged import (
+    BATCH,
+    FANOUT,
+    Run,
+    is_merged,
+    latest,
+    live_runs,
+    merge_full_levels,
+    write_run,
+)
 
 # Upper bounds of the response-time histogram, in seconds.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -111,26 +121,41 @@ def stream_queue_size(changes: DataFrame, queue: str = "queue", delta: str = "de
 # --- upserts ---------------------------------------------------------------------
 
 
-def stream_upsert(updates: DataFrame, path: str, key: str = "url", ts: str = "ts") -> DataStreamWriter:
+def save_batch(batch: DataFrame, batch_id: int, path: str, key: str, ts: str, fanout: int = FANOUT) -> None:
+    """Store a micro-batch as a run, and merge the levels it fills.
+
+    A replayed batch overwrites its run; if that has been merged already, the
+    rows are there and nothing is written. So the result is exact.
+    """
+    spark = batch.sparkSession
+    rows = upsert_latest(batch.limit(0), batch, key, ts).withColumn(BATCH, F.lit(batch_id).cast("long"))
+    if not is_merged(spark, path, batch_id):
+        write_run(rows, path, Run(batch_id, batch_id, 0))
+    merge_full_levels(spark, path, rows.schema, key, ts, fanout)
+
+
+def stream_upsert(
+    updates: DataFrame, path: str, key: str = "url", ts: str = "ts", fanout: int = FANOUT
+) -> DataStreamWriter:
     """Keep the latest row per key in ``path``.
 
-    A micro-batch writes only its own latest rows, into a folder named by the
-    batch id; a replayed batch overwrites its folder, so the result is exact.
+    A micro-batch writes only its own latest rows. Its run is merged with
+    others level by level, so that the number of files stays bounded.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        latest = upsert_latest(batch.limit(0), batch, key, ts)
-        latest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        save_batch(batch, batch_id, path, key, ts, fanout)
 
     return updates.writeStream.outputMode("append").foreachBatch(save)
 
 
 def read_upserts(spark: SparkSession, path: str, schema: str, key: str = "url", ts: str = "ts") -> DataFrame:
     """Latest row per key over all batches; a later batch wins equal times."""
-    rows = spark.read.schema(f"{schema}, batch BIGINT").option("basePath", path).parquet(path)
-    rest = [c for c in rows.columns if c not in (key, ts, "batch")]
-    latest = rows.groupBy(key).agg(F.max(F.struct(ts, "batch", *rest)).alias("_row"))
-    return latest.select(key, F.col(f"_row.{ts}").alias(ts), *[F.col(f"_row.{c}").alias(c) for c in rest])
+    folders = [run.folder(path) for run in live_runs(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(*folders)
+    return latest(rows, key, ts).drop(BATCH)
 
 
 # --- domain cap -------------------------------------------------------------------

@@ -72,3 +72,53 @@ def test_log_lines(spark):
     lines = ['{"timestamp": "t", "level": "INFO", "message": "m"}', '{"level": "ERROR", "error_type": "IOError"}', '{"level": "ERROR", "error_type": "IOError"}']
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert {(r.level, r.error_type, r.n) for r in R.log_events(df).collect()} == {("INFO", None, 1), ("ERROR", "IOError", 2)}
+
+
+def upserted(spark, n):
+    """Batches that update a few keys again and again, and what has to remain."""
+    want, batches = {}, []
+    for b in range(n):
+        rows = [(f"u{(b * 7 + i) % 11}", f"2024-01-01 00:{(b * 13 + i) % 60:02d}:00", b * 10 + i) for i in range(3)]
+        batches.append(spark.createDataFrame(rows, "url string, t string, v long").select("url", F.to_timestamp("t").alias("ts"), "v"))
+        best = {}
+        for url, t, v in rows:
+            best[url] = max(best.get(url, ("", 0)), (t, v))
+        for url, (t, v) in best.items():
+            if url not in want or (t, b) >= want[url][:2]:
+                want[url] = (t, b, v)
+    return batches, {url: v for url, (_, _, v) in want.items()}
+
+
+def test_upsert_runs_stay_few(spark, tmp_path):
+    out, fanout = str(tmp_path / "out"), 3
+    batches, want = upserted(spark, 30)
+    for i, batch in enumerate(batches):
+        R.save_batch(batch.coalesce(1), i, out, "url", "ts", fanout)
+        assert len(R.live_runs(spark, out)) <= 2 * 4
+        if i == 20:
+            # Replays of a merged batch and of the last one change nothing.
+            R.save_batch(batches[4].coalesce(1), 4, out, "url", "ts", fanout)
+            R.save_batch(batch.coalesce(1), i, out, "url", "ts", fanout)
+    runs = R.live_runs(spark, out)
+    assert [(r.first, r.last) for r in runs] == [(0, 26), (27, 29)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"run={r.level}-{r.first}-{r.last}" for r in runs)
+    assert {r.url: r.v for r in R.read_upserts(spark, out, SCHEMA).collect()} == want
+
+
+def test_upsert_merge_that_was_not_published(spark, tmp_path):
+    from pagewright.streaming import merged as M
+
+    out = str(tmp_path / "out")
+    batches, want = upserted(spark, 4)
+    for i, batch in enumerate(batches[:3]):
+        R.save_batch(batch.coalesce(1), i, out, "url", "ts", 4)
+    # A merge is killed after writing half of its rows, before it is published.
+    batches[0].limit(1).withColumn("_batch", F.lit(0).cast("long")).write.parquet(M.Run(0, 3, 1).folder(out))
+    assert len(R.live_runs(spark, out)) == 3
+    R.save_batch(batches[3].coalesce(1), 3, out, "url", "ts", 4)
+    assert [r.level for r in R.live_runs(spark, out)] == [1]
+    assert {r.url: r.v for r in R.read_upserts(spark, out, SCHEMA).collect()} == want
+    # A merge is killed after publishing, before its parts are deleted.
+    M.write_run(spark.read.parquet(M.Run(0, 3, 1).folder(out)).limit(0), out, M.Run(2, 2, 0))
+    assert {r.url: r.v for r in R.read_upserts(spark, out, SCHEMA).collect()} == want
+    assert R.read_upserts(spark, str(tmp_path / "none"), SCHEMA).count() == 0
