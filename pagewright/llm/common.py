@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +73,35 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> Dat
         .withColumns({out: F.sum(v).over(within) + F.col(b) for out, v, b in zip(sums, values, before)})
         .drop(part, *values, *before)
     )
+
+
+# Slots in a row of a table of slots on its way to the driver.
+TABLE_ROW_BITS = 12
+
+
+def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for cells in batch.column("cells").to_pylist():
+            row = np.zeros(1 << TABLE_ROW_BITS, dtype=np.uint8)
+            for cell in cells:
+                row[cell["slot"] & ((1 << TABLE_ROW_BITS) - 1)] = cell["value"]
+            out.append(row.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "cells"])
+
+
+def byte_table(values: DataFrame, bits: int) -> bytes:
+    """2^bits bytes from rows (slot long, value int), one per slot; else zero.
+
+    The caller bounds ``bits``, and with it what the driver receives. Rows of
+    slots are put together on executors.
+    """
+    rows = (
+        values.groupBy(F.shiftright("slot", TABLE_ROW_BITS).alias("row"))
+        .agg(F.collect_list(F.struct("slot", "value")).alias("cells"))
+        .mapInArrow(_table_rows, "row long, cells binary")
+    )
+    table = np.zeros((1 << (bits - TABLE_ROW_BITS), 1 << TABLE_ROW_BITS), dtype=np.uint8)
+    for row in rows.collect():
+        table[row.row] = np.frombuffer(row.cells, dtype=np.uint8)
+    return table.tobytes()

@@ -101,7 +101,8 @@ def packed(features: set[int]) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype="<u4").astype(np.int64)
+    """A view of the bytes: the sample's features are not copied one by one."""
+    return np.frombuffer(data, dtype="<u4")
 
 
 def _bags(terms):
@@ -147,8 +148,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS) -> D
 def _columns(rows, column: np.ndarray):
     """Row numbers and column numbers of the known features of each row."""
     sizes = [len(r) for r in rows]
-    flat = column[np.concatenate(rows)] if sum(sizes) else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), sizes)
+    flat = column[np.concatenate(rows)] if sum(sizes) else np.zeros(0, np.int32)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     return at[flat >= 0], flat[flat >= 0]
 
 
@@ -166,14 +167,13 @@ def learn(rows: pd.DataFrame, swap_penalty: float = SWAP_PENALTY) -> Model:
         share = (toxic + 0.1) / (n + 1.0)
         return Model(float(np.log(share / (1 - share))), {})
     own = [unpacked(r) for r in rows["own"]]
-    flat, at = np.concatenate(own), np.repeat(y, [len(r) for r in own])
-    seen = np.bincount(flat, minlength=BUCKETS)
-    in_toxic = np.bincount(flat, weights=at, minlength=BUCKETS)
+    seen = np.bincount(np.concatenate(own), minlength=BUCKETS)
+    in_toxic = np.bincount(np.concatenate([r for r, label in zip(own, y) if label]), minlength=BUCKETS)
     expected = seen * toxic / n
     telling = np.where(seen >= LEAST_ROWS, (in_toxic - expected) ** 2 / np.maximum(expected, 1e-9), 0)
     chosen = np.lexsort((np.arange(BUCKETS), -telling))[:FEATURES]
     chosen = np.sort(chosen[telling[chosen] > 0])
-    column = np.full(BUCKETS, -1, dtype=np.int64)
+    column = np.full(BUCKETS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     row, col = _columns(own, column)
     gained = [unpacked(g) for r in rows["gained"] for g in r]
