@@ -69,15 +69,19 @@ class Codec:
 
 
 def shared(spark: SparkSession, vocabulary: Vocabulary) -> Broadcast:
-    """The vocabulary for all tasks; its size is that of the rank file."""
-    return spark.sparkContext.broadcast({"vocabulary": vocabulary})
+    """The vocabulary for all tasks; its size is that of the rank file.
+
+    Only plain values are sent: a broadcast value's classes would have to be
+    installed on executors.
+    """
+    return spark.sparkContext.broadcast({"ranks": vocabulary.ranks, "pattern": vocabulary.pattern})
 
 
 def codec_of(vocabulary: Broadcast) -> Codec:
     """A worker's codec, built once and kept with the broadcast value."""
     value = vocabulary.value
     if "codec" not in value:
-        value["codec"] = Codec(value["vocabulary"])
+        value["codec"] = Codec(Vocabulary(value["ranks"], value["pattern"]))
     return value["codec"]
 
 
