@@ -34,8 +34,16 @@ def stream_pages(
     schema: str = schemas.RAW_PAGES,
     files_per_trigger: int | None = None,
     glob: str | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
+    """Files of a folder as a stream; with ``recursive`` also a single file.
+
+    ``glob`` tests file names, not folders: a table that may be one file or a
+    folder of files is read by its own path with ``recursive``.
+    """
     reader = spark.readStream.schema(schema)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
@@ -196,6 +204,13 @@ def stream_domain_cap(pages: DataFrame, path: str, n: int, order: list[str]) ->
     return pages.writeStream.outputMode("append").foreachBatch(accept)
 
 
+def read_accepted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows accepted so far; none if the stream has had no batch."""
+    if not list_versions(spark, f"{path}/counts", "_SUCCESS"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/accepted")
+
+
 # --- log lines --------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.streaming import streams as R
@@ -122,3 +123,28 @@ def test_upsert_merge_that_was_not_published(spark, tmp_path):
     M.write_run(spark.read.parquet(M.Run(0, 3, 1).folder(out)).limit(0), out, M.Run(2, 2, 0))
     assert {r.url: r.v for r in R.read_upserts(spark, out, SCHEMA).collect()} == want
     assert R.read_upserts(spark, str(tmp_path / "none"), SCHEMA).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_and_of_a_folder_stream_whole(spark, tmp_path, files):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"http://h{i % 4}.org/{i}", "<p>x</p>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(files)
+    events = spark.createDataFrame([(i, i % 7, "view", 0.5, "{}") for i in range(20)], "event_id long, user_id long, event_type string, value double, props string")
+    for name, df in (("pages", pages), ("events", events.withColumn("ts", F.timestamp_seconds("event_id")).repartition(files))):
+        out = tmp_path / f"{name}.parquet"
+        df.write.parquet(str(out))
+        if files == 1:
+            part = next(out.glob("part-*"))
+            (tmp_path / "one").mkdir(exist_ok=True)
+            (tmp_path / "one" / f"{name}.parquet").write_bytes(part.read_bytes())
+    d = str(tmp_path / "one" if files == 1 else tmp_path)
+    queries = entry.queries()
+    assert sorted(r.page_id for r in queries["stream_domain_cap"](spark, d).collect()) == list(range(8))
+    assert queries["stream_pages"](spark, d).count() == 20
+    assert queries["stream_dedup_urls"](spark, d).count() == 7
+
+
+def test_domain_cap_without_a_batch(spark, tmp_path):
+    assert R.read_accepted(spark, str(tmp_path / "none"), "v BIGINT").count() == 0
