@@ -206,9 +206,10 @@ def stream_domain_cap(pages: DataFrame, path: str, n: int, order: list[str]) ->
 
 def read_accepted(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows accepted so far; none if the stream has had no batch."""
+    none = spark.createDataFrame([], schema)
     if not list_versions(spark, f"{path}/counts", "_SUCCESS"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/accepted")
+        return none
+    return spark.read.schema(schema).parquet(f"{path}/accepted").select(*none.columns)
 
 
 # --- log lines --------------------------------------------------------------------

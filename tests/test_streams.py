@@ -141,6 +141,7 @@ def test_tables_of_one_file_and_of_a_folder_stream_whole(spark, tmp_path, files)
             (tmp_path / "one" / f"{name}.parquet").write_bytes(part.read_bytes())
     d = str(tmp_path / "one" if files == 1 else tmp_path)
     queries = entry.queries()
+    assert queries["stream_domain_cap"](spark, d).columns == ["page_id"]
     assert sorted(r.page_id for r in queries["stream_domain_cap"](spark, d).collect()) == list(range(8))
     assert queries["stream_pages"](spark, d).count() == 20
     assert queries["stream_dedup_urls"](spark, d).count() == 7
