@@ -62,20 +62,27 @@ def vector_table(records: DataFrame, vectors: DataFrame, key: str = "url", embed
 
 # Shards by space: at most so many centres, each drawn from the vectors by hash.
 MOST_CENTRES = 512
+# Rows, and copies of queries, that a task works on and gives out at once.
+ROUTED_ROWS = 2_048
 # Room for rounding in sums of squares, as a share of them.
 ROUNDING = 1e-9
 
 
+def _pieces(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+
+
 def _place(centres: np.ndarray):
     """Centre next to each vector, and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                distance = _distances(points, centres)
-                near = distance.argmin(axis=1)
-                yield batch.assign(centre=near.astype(np.int32), off=distance[np.arange(len(points)), near])
+        for batch in _pieces(batches, ROUTED_ROWS):
+            points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+            distance = _distances(points, centres)
+            near = distance.argmin(axis=1)
+            yield batch.assign(centre=near.astype(np.int32), off=distance[np.arange(len(points)), near])
 
     return run
 
@@ -96,9 +103,7 @@ def _route(centres: np.ndarray, radius: np.ndarray, counts: np.ndarray, k: int,
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _pieces(batches, ROUTED_ROWS):
             points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
             distance = _distances(points, centres)
             own = distance.argmin(axis=1)
@@ -114,8 +119,11 @@ def _route(centres: np.ndarray, radius: np.ndarray, counts: np.ndarray, k: int,
             needed = (np.maximum(distance - radius, 0) * (1 - ROUNDING) <= bound[:, None]) & (counts > 0)
             needed[np.arange(len(own)), own] = False
             row, centre = np.nonzero(needed)
-            out = batch.drop(columns=["bound"]).iloc[row]
-            yield out.assign(centre=centre.astype(np.int32), bound=bound[row])
+            # A query may need every shard: its copies are given out in bounded pieces.
+            for i in range(0, len(row), ROUTED_ROWS):
+                rows = row[i : i + ROUTED_ROWS]
+                out = batch.drop(columns=["bound"]).iloc[rows]
+                yield out.assign(centre=centre[i : i + ROUTED_ROWS].astype(np.int32), bound=bound[rows])
 
     return run
 

@@ -330,3 +330,17 @@ def test_checkpoint_dir_is_kept(spark):
 def test_config_rejects_negative_limits():
     with pytest.raises(ValueError, match="max_urls"):
         CrawlConfig(max_urls=-1)
+
+
+def test_knn_gives_out_copies_of_queries_in_bounded_pieces(monkeypatch):
+    """Queries that need every shard never stand in one frame with all their copies."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(records, "ROUTED_ROWS", 16)
+    points = np.random.default_rng(1).normal(size=(40, 4))
+    centres = points[:30]
+    batch = pd.DataFrame({"query_id": range(40), "embedding": list(points), "bound": np.inf})
+    run = records._route(centres, np.full(30, 9.0), np.full(30, 2), 50, home=False)
+    out = list(run(iter([batch])))
+    assert max(map(len, out)) <= 16 and sum(map(len, out)) == 40 * 29
