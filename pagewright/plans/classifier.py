@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.html import raw_text
 from pagewright.functions.scoring import PAGE_TYPES, page_features, page_type_scores, top_type
+from pagewright.session import cut_lineage
 
 # Size of the vocabulary and of the forest.
 VOCABULARY = 1000
@@ -36,7 +37,7 @@ def train_page_classifier(
     df: DataFrame, label: str, trees: int = TREES, vocabulary: int = VOCABULARY
 ) -> PipelineModel:
     """Fit on ``url``, ``html`` and a label column of page types."""
-    stages = [
+    features = [
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="_words", outputCol="_tokens", pattern=r"\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_tokens", outputCol="_kept"),
@@ -44,11 +45,21 @@ def train_page_classifier(
         IDF(inputCol="_counts", outputCol="_tfidf"),
         VectorAssembler(inputCols=["_tfidf", "_structure"], outputCol="_all"),
         StandardScaler(inputCol="_all", outputCol="_features"),
-        RandomForestClassifier(
-            featuresCol="_features", labelCol="_label", numTrees=trees, seed=SEED, cacheNodeIds=True
-        ),
     ]
-    return Pipeline(stages=stages).fit(_inputs(df))
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="_label", numTrees=trees, seed=SEED, cacheNodeIds=True
+    )
+    # Every stage reads its input again, and the forest once per level of its
+    # trees, so labels, words and features are computed once and stored.
+    fitted, data = [], cut_lineage(_inputs(df).select(label, "_words", "_structure"))
+    for stage in features:
+        model = stage.fit(data) if isinstance(stage, Estimator) else stage
+        fitted.append(model)
+        data = model.transform(data)
+        if stage.getOutputCol() == "_counts":
+            data = cut_lineage(data.select("_label", "_structure", "_counts"))
+    ready = cut_lineage(data.select("_label", "_features"))
+    return PipelineModel([*fitted, forest.fit(ready)])
 
 
 def predict_page_type(model: PipelineModel | None, df: DataFrame) -> DataFrame:
