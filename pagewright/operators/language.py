@@ -90,7 +90,8 @@ def detect_languages(
     df: DataFrame, profiles: DataFrame, key: str, text: str = "text", sharpness: float = 20.0
 ) -> DataFrame:
     """All candidates with a probability: a softmax of the scores per row."""
-    found = language_scores(df, profiles, key, text)
+    # Scores are read twice, for rows that have some and for rows without.
+    found = cut_lineage(language_scores(df, profiles, key, text))
     least = F.array_min("langs")["loss"]
     weights = F.transform(
         "langs",
