@@ -170,14 +170,16 @@ def selects(*selectors: str) -> Test:
     return lambda tag: tag.rlike(pattern)
 
 
-def first_selected(toks: Column, selectors: list[str]) -> Column:
-    """Outer markup of the first element of the first selector that has one."""
+def first_of(toks: Column, found: Column, selectors: list[str]) -> Column:
+    """Outer markup of the first of ``found`` for the first selector that has one."""
 
-    def first(found: Column, test: Test) -> Column:
+    def first(test: Test) -> Column:
         return F.get(F.filter(found, lambda e: test(F.get(toks, e["i"]))), F.lit(0))
 
-    def pick(found: Column) -> Column:
-        hits = [first(found, selects(s)) for s in selectors]
-        return let(F.coalesce(*hits), lambda e: F.when(e.isNotNull(), element_html(toks, e)))
+    hits = [first(selects(s)) for s in selectors]
+    return let(F.coalesce(*hits), lambda e: F.when(e.isNotNull(), element_html(toks, e)))
+
 
-    return let(elements(toks, selects(*selectors)), pick)
+def first_selected(toks: Column, selectors: list[str]) -> Column:
+    """Outer markup of the first element of the first selector that has one."""
+    return let(elements(toks, selects(*selectors)), lambda found: first_of(toks, found, selectors))

@@ -142,9 +142,15 @@ def custom_selectors(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     A rule lists alternatives separated by commas; the first alternative that
     matches any element wins.
     """
-    # Bound in a one-element array, the tokens are cut once for all rules.
+    choices = {name: rule.split(",") for name, rule in rules.items()}
+    wanted = H.selects(*[s for some in choices.values() for s in some])
+
+    # Tokens are cut and elements matched once for all rules.
     def pick(toks: Column) -> Column:
-        return F.struct(*[H.text_nodes(H.first_selected(toks, rule.split(","))).alias(name) for name, rule in rules.items()])
+        def texts(found: Column) -> Column:
+            return F.struct(*[H.text_nodes(H.first_of(toks, found, some)).alias(name) for name, some in choices.items()])
+
+        return let(H.elements(toks, wanted), texts)
 
     picked = F.transform(F.array(H.tokens(H.markup("html"))), pick)
     return pages.select("url", F.inline(picked))
