@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import stored
+from pagewright.llm.common import forget, stored
 
 # Lines are alike from this Jaccard similarity of their word sets on: 4 / 5.
 # The filters below follow from it in whole numbers.
@@ -236,7 +236,7 @@ def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def later_of_similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verify pairs by their whole word sets; KEYS of the later ones.
+    """Verify pairs by their whole word sets; KEYS of the later ones, stored.
 
     The words are read from the first line of each set again. A table of slots
     keeps most other lines from being shuffled; the join decides.
@@ -267,11 +267,14 @@ def later_of_similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> Data
     sizes = F.size("a_set.words") + F.size("b_set.words")
     alike = (SIMILAR + SIMILAR_OF) * F.size(F.array_intersect("a_set.words", "b_set.words")) >= SIMILAR * sizes
     later = F.when(F.col("a_set.first") > F.col("b_set.first"), F.col("a_set")).otherwise(F.col("b_set"))
-    return met.where(alike).select(later.alias("later")).select(*[f"later.{k}" for k in KEYS]).distinct()
+    found = met.where(alike).select(later.alias("later")).select(*[f"later.{k}" for k in KEYS]).distinct()
+    found = stored(found, "later")
+    forget(pairs, wanted, known)
+    return found
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, removed): numbers of the lines to take out, if any.
+    """Rows (doc_id, mark, removed), stored: numbers of the lines to take out, if any.
 
     A line goes when an earlier line (by doc_id, then line number) has a
     Jaccard similarity of 4 / 5 or more of word sets, whether or not that line
@@ -283,7 +286,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "text")
     marks = stored(line_marks(plain), "marks")
     sets = stored(word_sets(marks), "sets")
-    settled = stored(later_of_similar(hub_pairs(sets), sets, plain), "settled")
+    settled = later_of_similar(hub_pairs(sets), sets, plain)
     rest = later_of_similar(prefix_pairs(sets, settled), sets, plain)
     later = settled.unionByName(rest).distinct().withColumn("later", F.lit(True))
     touched = (
@@ -293,13 +296,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .select(*KEYS, "first", F.coalesce("later", F.lit(False)).alias("later"))
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
-    return (
+    removed = (
         marks.drop("prefix")
         .join(touched, KEYS)
         .where(F.col("later") | ~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "mark")
         .agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     )
+    removed = stored(removed, "removed")
+    forget(marks, sets, settled, rest)
+    return removed
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -308,7 +314,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     All rows and columns stay; a text that loses all lines becomes empty. A
     column n_chars follows the new text.
     """
-    removed = stored(repeated_lines(docs), "removed").select(
+    removed = repeated_lines(docs).select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed")
     )
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_text"))
@@ -332,7 +338,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
     ``removed`` lists line numbers from 0, joined by commas.
     """
-    found = stored(repeated_lines(docs), "removed").select(
+    found = repeated_lines(docs).select(
         F.col("doc_id").alias("id"), F.col("mark").alias("text_mark"), "removed"
     )
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
