@@ -109,6 +109,31 @@ def merged(text: str, scores: dict[str, float]) -> list[str]:
     return parts
 
 
+def unit_pattern(pieces) -> re.Pattern:
+    """Cuts a text where no piece, and so no merge, crosses the border.
+
+    These are the borders between a character and a blank after it, and those
+    between word characters and others; characters that some piece joins
+    across the latter are never cut from their neighbours.
+    """
+    if any(BLANK in t.lstrip(BLANK) for t in pieces):
+        return re.compile(r"(?s).+")
+    joined = set()
+    for text in pieces:
+        for a, b in zip(text, text[1:]):
+            if a != BLANK and is_word(a) != is_word(b):
+                word, other = (a, b) if is_word(a) else (b, a)
+                joined.add(other if word.isalpha() else word)
+    some = "".join(map(re.escape, sorted(joined)))
+    after = f"(?![{some}])" if some else ""
+    word, other = f"[^\\W{some}]++{after}", f"[^\\w{BLANK}{some}]++{after}"
+    return re.compile(f"{BLANK}*+(?:{word}|{other}|[^{BLANK}]+)|{BLANK}+")
+
+
+def is_word(char: str) -> bool:
+    return re.match(r"\w", char) is not None
+
+
 class Remembered(dict):
     """Results by key in two generations: when the younger is full, the older goes."""
 
@@ -161,11 +186,9 @@ class Codec:
         for text, i in reachable.items():
             prefixes = (reachable.get(text[:n]) for n in range(len(text) - 1, 0, -1))
             self.shorter[i] = next((p for p in prefixes if p is not None), None)
+        self.reachable = reachable
         self.fit = Remembered(self._fits, KNOWN_PAIRS)
-        # No piece goes on from another character to a blank, so no merge
-        # crosses that border, and the text may be cut there.
-        crossing = any(BLANK in t.lstrip(BLANK) for t in ids)
-        self.unit = re.compile(r"(?s).+" if crossing else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.unit = unit_pattern(ids)
         self.units = Remembered(self._made, KNOWN_UNITS)
         # What an id shows and decodes to.
         self.shown = list(map(str, range(len(model.texts))))
@@ -188,6 +211,9 @@ class Codec:
 
     def _pieces(self, text: str) -> list[int]:
         """Pieces of a text of known characters, by backtracking."""
+        whole = self.reachable.get(text)
+        if whole is not None:
+            return [whole]
         longest, sizes, shorter, size, fit = self._longest(text), self.sizes, self.shorter, len(text), self.fit
         failed = bytearray(size + 1)
         out: list[int] = []
@@ -212,6 +238,9 @@ class Codec:
 
     def _unit_ids(self, unit: str) -> list[int]:
         if self.known_chars.issuperset(unit):
+            pieces = self._pieces(unit)
+            if max(pieces) < len(self.model.texts):
+                return pieces
             runs = [unit]
         else:
             runs = []

@@ -109,3 +109,11 @@ def test_memory_is_bounded():
 def test_other_models_are_refused():
     with pytest.raises(pieces.UnsupportedModel):
         pieces.Model(b"")
+
+
+def test_units_end_where_no_piece_goes_on(codec):
+    assert codec.unit.findall("▁onth.\nTiens▁▁a_b") == ["▁onth", ".\n", "Tiens", "▁▁a_b"]
+    for text in codec.scores:
+        assert codec.unit.findall(text) == [text]
+    assert pieces.unit_pattern(["a", "s", "'", "'s", "▁a"]).findall("▁a's.a▁") == ["▁a's.a", "▁"]
+    assert pieces.unit_pattern(["a▁a"]).findall("▁a.\na") == ["▁a.\na"]
