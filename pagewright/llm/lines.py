@@ -238,18 +238,20 @@ def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
 def later_of_similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Verify pairs by their whole word sets; KEYS of the later ones, stored.
 
-    The words are read from the first line of each set again. A table of slots
-    keeps most other lines from being shuffled; the join decides.
+    The words are read from the first line of each set again. The slots of these
+    places keep most other lines from being shuffled; the join decides. They are
+    broadcast: as a literal, every plan that the driver prints and keeps while the
+    joins below adapt would hold them in hexadecimal digits, several times over.
     """
     pairs = stored(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = stored(sets.select(*KEYS, "first").join(keys, "key"), "wanted")
     place = lambda *cols: F.xxhash64(*cols)
-    slots = wanted.select(slot_of(place("first.doc_id", "first.mark", "first.line_no")).alias("slot"))
-    table = slot_table(slots, F.lit(1))
+    slots = wanted.select(slot_of(place("first.doc_id", "first.mark", "first.line_no")).alias("slot")).distinct()
     lines = (
         numbered_lines(docs)
-        .where(in_table(table, slot_of(place("doc_id", "mark", "line_no"))) == 1)
+        .withColumn("slot", slot_of(place("doc_id", "mark", "line_no")))
+        .join(F.broadcast(slots), "slot", "left_semi")  # at most 2^SLOT_BITS rows
         .select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no").alias("first"), "line")
     )
     hash_of = lambda c: F.xxhash64(c)

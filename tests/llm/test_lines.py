@@ -111,3 +111,23 @@ def test_empty_table(spark):
     docs = frame(spark, [(1, "a")]).limit(0)
     assert L.repeated_lines(docs).count() == 0
     assert L.drop_repeated_lines(docs).count() == 0
+
+
+def test_plans_do_not_print_the_table_of_slots(spark):
+    """The joins that verify pairs adapt often, and each time their plan is printed and kept."""
+    docs = spark.createDataFrame([(1, "a b c d e f\nx y z v w"), (2, "a b c d e g f\ny")], "doc_id long, text string")
+    marks = L.line_marks(docs)
+    sets = L.word_sets(marks).localCheckpoint()
+    plans, real = {}, L.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return real(df, name)
+
+    L.stored = noted
+    try:
+        later = L.later_of_similar(L.hub_pairs(sets), sets, docs).collect()
+    finally:
+        L.stored = real
+    assert [r.n for r in later] == [7]
+    assert len(plans["known"]) < 100_000 and max(map(len, plans.values())) < 100_000
