@@ -15,13 +15,15 @@ JOINED_WORDS = 4
 # Words fall into this many slots, whose counts order them by rarity. The order
 # decides how fast the join is, never what it finds.
 SLOT_BITS = 18
+# A table of places has 2^(MARK_BITS - 1) to 2^MARK_BITS bits for each place.
+MARK_BITS = 5
 # Rarest words by which a line meets the first line that has them.
 HUB_WORDS = 6
 
 WHITE, OTHER_WHITE = r"[\x20\x09-\x0D]+", r"[\x09-\x0D]"
-# What stands for a word set: a hash of it, the parity of its words over 128
+# What stands for a word set: a hash of it, the parity of its words over 64
 # slots, and its size.
-KEYS = ["key", "even", "odd", "n"]
+KEYS = ["key", "bits", "n"]
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -43,7 +45,7 @@ def may_be_alike(x_n: Column, y_n: Column, x: str, y: str) -> Column:
 
     ``x`` and ``y`` are column prefixes of the two sets.
     """
-    flipped = sum(F.bit_count(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))) for half in ("even", "odd"))
+    flipped = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
     return flipped <= x_n + y_n - 2 * least_overlap(x_n, y_n)
 
 
@@ -77,7 +79,7 @@ def slot_table(slots: DataFrame, value: Column) -> bytes:
         .orderBy("row")
         .collect()
     )
-    return "".join(r.text for r in rows).encode("ascii")
+    return bytes(code - 1 for code in "".join(r.text for r in rows).encode("ascii"))
 
 
 def slot_of(value: Column) -> Column:
@@ -85,7 +87,9 @@ def slot_of(value: Column) -> Column:
 
 
 def in_table(table: bytes, slot: Column) -> Column:
-    return F.ascii(F.substring(F.lit(table), slot.cast("int") + 1, F.lit(1)).cast("string")) - 1
+    """The slot's byte; the array is made of the text once, when the query is planned."""
+    cells = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
+    return F.get(cells, slot.cast("int"))
 
 
 def rarity_table(docs: DataFrame) -> bytes:
@@ -119,19 +123,16 @@ def line_marks(docs: DataFrame) -> DataFrame:
     def short(word: Column) -> Column:
         return F.when(F.shiftright(word, 56) > 1, F.shiftright(F.shiftleft(word, 32), 32).cast("int"))
 
-    def parity(words: Column, half: int) -> Column:
+    def parity(words: Column) -> Column:
         def flip(bits: Column, word: Column) -> Column:
-            mine = F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(mine, bits.bitwiseXOR(bit)).otherwise(bits)
+            return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
 
         return F.aggregate(words, F.lit(0).cast("long"), flip)
 
     def describe(words: Column) -> Column:
         return F.struct(
             F.xxhash64(words).alias("key"),
-            parity(words, 0).alias("even"),
-            parity(words, 1).alias("odd"),
+            parity(words).alias("bits"),
             F.size(words).cast("long").alias("n"),
             F.transform(F.slice(words, F.lit(1), joined_prefix(F.size(words))), short).alias("prefix"),
         )
@@ -156,7 +157,7 @@ def word_sets(marks: DataFrame) -> DataFrame:
 
 
 def narrow_rows(sets: DataFrame, words: Column, is_open: Column) -> DataFrame:
-    """Rows (word, key, even, odd, order, shape), one per word of ``words``.
+    """Rows (word, key, bits, order, shape), one per word of ``words``.
 
     ``order`` is the document of the set's first line, null last; ``shape``
     holds size, position of the word, and whether the set is open.
@@ -166,7 +167,7 @@ def narrow_rows(sets: DataFrame, words: Column, is_open: Column) -> DataFrame:
     return (
         sets.select(*KEYS, F.coalesce("first.doc_id", last).alias("order"), is_open.alias("open"), F.posexplode(words).alias("at", "word"))
         .where("word IS NOT NULL")
-        .select("word", "key", "even", "odd", "order", shape.alias("shape"))
+        .select("word", "key", "bits", "order", shape.alias("shape"))
     )
 
 
@@ -195,9 +196,9 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
     """
     rare = F.slice(F.array_compact("prefix"), 1, HUB_WORDS)
     rows = narrow_rows(sets, rare, F.lit(True)).repartition("word")
-    first = F.min(F.struct("order", "key", "even", "odd", "shape"))
+    first = F.min(F.struct("order", "key", "bits", "shape"))
     hubs = rows.groupBy("word").agg(first.alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("word", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "even", "odd", "shape")])
+    hubs = hubs.select("word", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "bits", "shape")])
     n, hub_n = size_in(F.col("shape")), size_in(F.col("hub_shape"))
     return (
         rows.join(hubs, "word")
@@ -235,23 +236,48 @@ def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
     return x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
+def marked_places(places: DataFrame, bits: int) -> DataFrame:
+    """Rows (bucket, marks): a bit map of 2^bits places, from rows (hash)."""
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    # Dealt by bucket first, a map is made once, not in part by every task.
+    return (
+        places.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
+        .repartition("bucket")
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("at").alias("marks"))
+    )
+
+
+def at_marked_places(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines whose ``hash`` falls on a place that a hash of ``places`` marks.
+
+    There are 16 to 32 bits for each hash, whatever their number, so the same
+    small share of other lines comes along at every size of the input.
+    """
+    bits = max(MARK_BITS, MARK_BITS - 1 + places.count().bit_length())
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    at = F.bitmap_bit_position(place)
+    byte = F.ascii(F.decode(F.substring(F.col("marks"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    is_marked = F.call_function("getbit", byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    # Two to four bytes for each place.
+    table = F.broadcast(marked_places(places, bits))
+    return lines.join(table, (F.bitmap_bucket_number(place) == F.col("bucket")) & is_marked, "left_semi").drop("hash")
+
+
 def later_of_similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Verify pairs by their whole word sets; KEYS of the later ones, stored.
 
-    The words are read from the first line of each set again. The slots of these
-    places keep most other lines from being shuffled; the join decides. They are
-    broadcast: as a literal, every plan that the driver prints and keeps while the
-    joins below adapt would hold them in hexadecimal digits, several times over.
+    The words are read from the first line of each set again. ``marked_places``
+    keeps most other lines from being shuffled; the join decides. It is broadcast:
+    as a literal, every plan that the driver prints and keeps while the joins below
+    adapt would hold it in hexadecimal digits, several times over.
     """
     pairs = stored(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = stored(sets.select(*KEYS, "first").join(keys, "key"), "wanted")
-    place = lambda *cols: F.xxhash64(*cols)
-    slots = wanted.select(slot_of(place("first.doc_id", "first.mark", "first.line_no")).alias("slot")).distinct()
+    places = wanted.select(F.xxhash64("first.doc_id", "first.mark", "first.line_no").alias("hash"))
     lines = (
-        numbered_lines(docs)
-        .withColumn("slot", slot_of(place("doc_id", "mark", "line_no")))
-        .join(F.broadcast(slots), "slot", "left_semi")  # at most 2^SLOT_BITS rows
+        at_marked_places(numbered_lines(docs).withColumn("hash", F.xxhash64("doc_id", "mark", "line_no")), places)
         .select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no").alias("first"), "line")
     )
     hash_of = lambda c: F.xxhash64(c)
