@@ -21,9 +21,10 @@ MARK_BITS = 5
 HUB_WORDS = 6
 
 WHITE, OTHER_WHITE = r"[\x20\x09-\x0D]+", r"[\x09-\x0D]"
-# What stands for a word set: a hash of it, the parity of its words over 64
-# slots, and its size.
-KEYS = ["key", "bits", "n"]
+# What stands for a word set: a hash of it, the parity of its words over 128
+# slots, and its size. With 64 slots, pairs that are not alike pass in numbers
+# that grow with the square of the input.
+KEYS = ["key", "even", "odd", "n"]
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -45,7 +46,7 @@ def may_be_alike(x_n: Column, y_n: Column, x: str, y: str) -> Column:
 
     ``x`` and ``y`` are column prefixes of the two sets.
     """
-    flipped = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+    flipped = sum(F.bit_count(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))) for half in ("even", "odd"))
     return flipped <= x_n + y_n - 2 * least_overlap(x_n, y_n)
 
 
@@ -123,16 +124,19 @@ def line_marks(docs: DataFrame) -> DataFrame:
     def short(word: Column) -> Column:
         return F.when(F.shiftright(word, 56) > 1, F.shiftright(F.shiftleft(word, 32), 32).cast("int"))
 
-    def parity(words: Column) -> Column:
+    def parity(words: Column, half: int) -> Column:
         def flip(bits: Column, word: Column) -> Column:
-            return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
+            mine = F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(mine, bits.bitwiseXOR(bit)).otherwise(bits)
 
         return F.aggregate(words, F.lit(0).cast("long"), flip)
 
     def describe(words: Column) -> Column:
         return F.struct(
             F.xxhash64(words).alias("key"),
-            parity(words).alias("bits"),
+            parity(words, 0).alias("even"),
+            parity(words, 1).alias("odd"),
             F.size(words).cast("long").alias("n"),
             F.transform(F.slice(words, F.lit(1), joined_prefix(F.size(words))), short).alias("prefix"),
         )
@@ -157,7 +161,7 @@ def word_sets(marks: DataFrame) -> DataFrame:
 
 
 def narrow_rows(sets: DataFrame, words: Column, is_open: Column) -> DataFrame:
-    """Rows (word, key, bits, order, shape), one per word of ``words``.
+    """Rows (word, key, even, odd, order, shape), one per word of ``words``.
 
     ``order`` is the document of the set's first line, null last; ``shape``
     holds size, position of the word, and whether the set is open.
@@ -167,7 +171,7 @@ def narrow_rows(sets: DataFrame, words: Column, is_open: Column) -> DataFrame:
     return (
         sets.select(*KEYS, F.coalesce("first.doc_id", last).alias("order"), is_open.alias("open"), F.posexplode(words).alias("at", "word"))
         .where("word IS NOT NULL")
-        .select("word", "key", "bits", "order", shape.alias("shape"))
+        .select("word", "key", "even", "odd", "order", shape.alias("shape"))
     )
 
 
@@ -196,9 +200,9 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
     """
     rare = F.slice(F.array_compact("prefix"), 1, HUB_WORDS)
     rows = narrow_rows(sets, rare, F.lit(True)).repartition("word")
-    first = F.min(F.struct("order", "key", "bits", "shape"))
+    first = F.min(F.struct("order", "key", "even", "odd", "shape"))
     hubs = rows.groupBy("word").agg(first.alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("word", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "bits", "shape")])
+    hubs = hubs.select("word", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "even", "odd", "shape")])
     n, hub_n = size_in(F.col("shape")), size_in(F.col("hub_shape"))
     return (
         rows.join(hubs, "word")
