@@ -344,3 +344,82 @@ def test_knn_gives_out_copies_of_queries_in_bounded_pieces(monkeypatch):
     run = records._route(centres, np.full(30, 9.0), np.full(30, 2), 50, home=False)
     out = list(run(iter([batch])))
     assert max(map(len, out)) <= 16 and sum(map(len, out)) == 40 * 29
+
+
+def test_nearest_rows_are_exact_for_any_numbers(monkeypatch):
+    """Far offsets, equal rows, tiny and huge numbers, and what is not a number."""
+    import numpy as np
+
+    monkeypatch.setattr(records, "POINTS_AT_ONCE", 7)
+    monkeypatch.setattr(records, "ROWS_AT_ONCE", 11)
+    monkeypatch.setattr(records, "MET_AT_ONCE", 5)
+    rng = np.random.default_rng(6)
+    free = rng.normal(size=(60, 5))
+    grid = rng.integers(0, 2, (60, 5)).astype(float)
+    odd = free.copy()
+    odd[3, 1], odd[9, 0] = np.nan, np.inf
+    for rows in (free, grid, free * 0.01 + 1e4, free * 1e-24, free * 1e25, odd):
+        names = rng.permutation(len(rows))
+        points = rows[::2]
+        with np.errstate(invalid="ignore"):
+            far = [np.square(rows - p).sum(axis=1) for p in points]
+            for bound in (np.full(len(points), np.inf), np.array([np.sort(d)[6] for d in far])):
+                at, distance, found = records.nearest_of(points, bound, rows, names, 7)
+                for i, d in enumerate(far):
+                    best = np.lexsort((names, d))[:7]
+                    assert found[at == i].tolist() == names[best].tolist()
+                    assert np.array_equal(distance[at == i], d[best], equal_nan=True)
+
+
+def test_knn_of_missing_and_repeated_vectors(spark):
+    """As the SQL has it: a missing vector has no distance, and comes last."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()["knn_l2"]
+    same = [1.0, 2.0]
+    for rows in (
+        [(i, same if i % 2 else [float(i), 0.0]) for i in range(30)] + [(40, None), (7, same), (8, [9.0, 9.0])],
+        [(1, None), (2, None), (3, [1.0, 0.0]), (4, [0.0, 0.0])],
+        [(1, None), (2, None)],
+    ):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        con = duckdb.connect()
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        want = con.execute(f"SELECT query_id, rank, vec_id, distance FROM ({sql})").fetchall()
+        got = records.knn_l2(df, df, 5, block_rows=4, shard_rows=3)
+        got = [(r.query_id, r["rank"], r.vec_id, r.distance and round(r.distance, 6)) for r in got.collect()]
+        by = lambda r: (r[0], r[1])
+        assert sorted(got, key=by) == sorted(want, key=by)
+
+
+def test_knn_query_searches_from_every_vector(spark, tmp_path):
+    """All rows are queries, whatever their ids, in the query and in its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows, _ = clustered(spark, 5)
+    df = spark.createDataFrame([(7 * i + 1, v) for i, v in rows], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["knn_l2"](spark, str(tmp_path)).collect()
+    assert len(got) == 5 * len(rows) and {r.query_id for r in got} == {7 * i + 1 for i, _ in rows}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id FROM ({entry.oracle_sql()['knn_l2']})").fetchall()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == set(want)
+
+
+def test_knn_sends_a_query_once_to_a_group_of_shards(spark):
+    """Where no shard can be ruled out, copies grow with the groups, not with the shards."""
+    rows, vecs = clustered(spark, 20)
+    _, centres, sizes = records.space_shards(vecs, "vec_id", 9)
+    groups = records.shard_groups(centres, sizes, 150)
+    assert len(centres) > 100 and 1 < groups.max() + 1 <= 4
+    asked = vecs.selectExpr("vec_id AS query_id", "embedding", "CAST(1e9 AS DOUBLE) AS bound")
+    sent = records.routed_queries(asked, centres, sizes, 10**6, home=False, groups=groups).collect()
+    assert len(sent) == len(rows) * (groups.max() + 1)
+    close = asked.withColumn("bound", F.lit(60.0).cast("double"))
+    assert records.routed_queries(close, centres, sizes, 5, home=False, groups=groups).count() < len(sent)
